@@ -109,7 +109,7 @@ def drop_contained(inner: Column, outer: Column) -> Column:
     def merged() -> Column:
         event = lambda s, kind, reach: F.struct(
             s["start_pos"].alias("at"), F.lit(kind).alias("kind"), reach.alias("reach"))
-        events = F.array_sort(F.concat(
+        events = F.sort_array(F.concat(
             F.transform(outer, lambda o: event(o, 0, o["end_pos"])),
             F.transform(inner, lambda x: event(x, 1, F.lit(-1)))))
         reach = lambda ev: doubling_scan(

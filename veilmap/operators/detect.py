@@ -194,7 +194,7 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
         *next(iter(names.items())))
     if first_per_value:
         # Sorted by kind, value and position; equal kinds and values are neighbours.
-        hits = let(F.array_sort(hits), lambda h: F.filter(h, lambda x, i: (
+        hits = let(F.sort_array(hits), lambda h: F.filter(h, lambda x, i: (
             (i == 0) | (x["_kind"] != F.get(h, i - 1)["_kind"])
             | (x["value"] != F.get(h, i - 1)["value"]))))
 

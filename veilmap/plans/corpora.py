@@ -22,8 +22,15 @@ from events
 """
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of an input that has fewer splits than the cluster has cores.
+    Inputs of any size beyond that are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def log_lines_of(events: DataFrame) -> DataFrame:
