@@ -33,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def log_lines_of(events: DataFrame) -> DataFrame:
-    """(line_id, line[, ...]): infrastructure log lines, one per event."""
-    return events.sparkSession.sql(LOG_LINES_SQL.replace("from events", "from {events}"), events=events)
+def log_lines_of(events: DataFrame, with_time: bool = False) -> DataFrame:
+    """(line_id, line) or (line_id, ts, line): infrastructure log lines, one per event."""
+    sql = LOG_LINES_SQL.replace("from events", "from {events}")
+    if with_time:
+        sql = sql.replace("event_id as line_id,", "event_id as line_id, ts,", 1)
+    return events.sparkSession.sql(sql, events=events)
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
