@@ -160,9 +160,9 @@ _GENERATE = (
         r"case when ends_with(split_part(v, '\', 4), '$') then '$' else '' end || "
         r"case when len(string_split(v, '\')) > 4 then '\' || array_to_string((string_split(v, '\'))[5:], '\') else '' end as f "
         f"from {source} where t = 'unc')" for name, source in (("f_unc", "lab"), ("f_unc_only", "lab_unc")))
-    + ", full_map as (select * from f_ip union all select * from f_host union all select * from f_upn union all select * from f_guid "
+    + ", full_map as materialized (select * from f_ip union all select * from f_host union all select * from f_upn union all select * from f_guid "
     "union all select * from f_sid union all select * from f_mac union all select * from f_unc), "
-    "approved as (select * from full_map where t in ('ipv4', 'cidr', 'mac', 'unc')), "
+    "approved as materialized (select * from full_map where t in ('ipv4', 'cidr', 'mac', 'unc')), "
     "global_map as (select t, v, f, 'global' as sc, true as pf from full_map where t <> 'sid'), "
     "project as (select 'hostname' as t, v, 'project-' || f as f, 'project' as sc, true as pf from full_map where t in ('ipv4', 'cidr') "
     "union all select t, v, f, 'project', true from full_map where t = 'sid'), "
@@ -180,29 +180,31 @@ def _fake(source: str, where: str = "true") -> str:
     return f"{_GENERATE} select {_ENTRY} from {source} where {where}"
 
 
-# Keys as one alternation, the longest first: leftmost-longest replacement.
+# Occurrences of keys are all substrings of a line that are as long as some key; per start
+# the longest stays, and a fold from left to right drops what overlaps.
 def _replace(name: str, source: str, pairs: str) -> str:
-    escaped = r"regexp_replace({}, '([^A-Za-z0-9])', '\\\1', 'g')".format("o")
-    return (f"{name}_rx as materialized (select string_agg({escaped}, '|' order by length(o) desc, o) as rx, "
-            f"map_from_entries(list((o, r))) as pairs from ({pairs})), "
-            f"{name} as (select line_id, array_to_string(list_transform(list_zip(g, m), "
-            "lambda z: z[1] || coalesce(pairs[z[2]], '')), '') as line from (select line_id, pairs, "
-            f"regexp_split_to_array(line, rx) as g, regexp_extract_all(line, rx) as m from {source}, {name}_rx))")
+    return (
+        f"{name}_pairs as materialized ({pairs}), "
+        f"{name}_sizes as materialized (select distinct cast(length(o) as bigint) as n from {name}_pairs), "
+        f"{name}_probes as materialized (select line_id, i - 1 as s, i - 1 + n as e, substr(line, i, n) as o from ("
+        f"select line_id, line, unnest(range(1, length(line) + 1)) as i from {source}), {name}_sizes "
+        "where i + n - 1 <= length(line)), "
+        f"{name}_hits as materialized (select line_id, s, e, o, r from {name}_probes join {name}_pairs using (o)), "
+        f"{name}_longest as materialized (select * from {name}_hits qualify row_number() over "
+        "(partition by line_id, s order by e desc) = 1), "
+        f"{name}_taken as materialized (select line_id, list_reduce(list([struct_pack(s, e, o, r)] order by s), "
+        "lambda a, b: case when b[1].s >= a[-1].e then a || b else a end) as t "
+        f"from {name}_longest group by line_id), "
+        f"{name} as (select line_id, case when t is null then line else array_to_string(list_transform("
+        "range(1, len(t) + 1), lambda i: substr(line, case when i = 1 then 1 else t[i - 1].e + 1 end, "
+        "t[i].s - case when i = 1 then 0 else t[i - 1].e end) || t[i].r), '') || substr(line, t[-1].e + 1) end as line "
+        f"from {source} left join {name}_taken using (line_id))")
 
 
 _ANON = _GENERATE + ", " + _replace("anon", "lines", "select v as o, f as r from approved")
 _REVEALED = _ANON + ", " + _replace("back", "anon", "select f as o, v as r from approved")
-
-# Occurrences of keys by comparing every key with every line at every position it can have.
-_OCCURRENCES = (
-    _GENERATE + ", probes as (select line_id, line, unnest(range(1, length(line) + 1)) as i from lines), "
-    "sizes as (select distinct length(v) as n from approved), "
-    "hits as (select line_id, i - 1 as start_pos, i - 1 + n as end_pos, v, f from probes, sizes "
-    "join approved on v = substr(line, i, n) and length(v) = n where i + n - 1 <= length(line))")
-_LONGEST = (_OCCURRENCES + ", longest as (select * from hits qualify row_number() over "
-            "(partition by line_id, start_pos order by end_pos desc) = 1)")
-_HIT = ("line_id, cast(start_pos as integer) as start_pos, cast(end_pos as integer) as end_pos, "
-        "v as original_value, f as anonymized_value")
+_HIT = ("line_id, cast(s as integer) as start_pos, cast(e as integer) as end_pos, "
+        "o as original_value, r as anonymized_value")
 
 _TREE = ("tree as (select 'd' || (line_id % 3) || '/part' || (line_id // 100) || '.log' as relative_path, "
          "string_agg(line, chr(10) order by line_id) as text from {} group by all)")
@@ -298,24 +300,20 @@ ORACLES = {
     "fake_mac": _fake("f_mac"),
     "fake_unc": _fake("f_unc_only"),
     "fake_uniqueness": _GENERATE + """ select t as identifier_type, count(*) as entries, count(distinct f) as fakes,
-        count_if(f in (select v from full_map)) as fakes_among_originals from full_map group by t""",
+        cast(count_if(f in (select v from full_map)) as bigint) as fakes_among_originals from full_map group by t""",
     "map_growth": _GENERATE + """ select t as identifier_type, count(*) as entries,
-        count_if(t in ('hostname', 'guid', 'upn')) as kept from full_map group by t""",
-    "mapped_occurrences": f"{_OCCURRENCES} select {_HIT} from hits",
-    "longest_match": f"{_LONGEST} select {_HIT} from longest",
-    "overlap_resolution": _GENERATE + ", keys as materialized (select string_agg("
-                          + r"regexp_replace(v, '([^A-Za-z0-9])', '\\\1', 'g')"
-                          + ", '|' order by length(v) desc, v) as rx from approved), "
-                          + _spans("taken", "@", "lines, keys").replace("'@'", "rx")
-                          + f" select {_HIT} from taken join approved on v = value",
+        cast(count_if(t in ('hostname', 'guid', 'upn')) as bigint) as kept from full_map group by t""",
+    "mapped_occurrences": f"{_ANON} select {_HIT} from anon_hits",
+    "longest_match": f"{_ANON} select {_HIT} from anon_longest",
+    "overlap_resolution": f"{_ANON} select {_HIT} from (select line_id, unnest(t, recursive := true) from ("
+                          "select line_id, unnest(t) as t from anon_taken))",
     "anonymize_lines": _ANON + " select line_id, line from anon",
     "anonymize_join": _ANON + " select line_id, line from anon",
     "reveal_lines": _REVEALED + " select line_id, line from back",
     "reveal_full": "select line_id, line from (" + LOG_LINES_SQL + ")",
     "roundtrip_audit": "select count(*) as documents, cast(0 as bigint) as mismatches from events",
-    "residual_leaks": _ANON + ", keys as materialized (select string_agg("
-                      + r"regexp_replace(v, '([^A-Za-z0-9])', '\\\1', 'g')"
-                      + ", '|') as rx from approved) select line_id from anon, keys where regexp_matches(line, rx)",
+    "residual_leaks": _ANON + ", " + _replace("left_over", "anon", "select v as o, f as r from approved")
+                      + " select distinct line_id from left_over_hits",
     "map_ambiguous_fakes": _GENERATE + " select 'fake-' || substr(md5(v), 1, 3) as anonymized_value, count(*) as originals "
                            "from full_map group by 1 having count(*) > 1",
     "map_fake_collisions": _GENERATE + """, fakes as (select distinct substr(v, 1, 5) || substr(md5(v), 1, 1) as f from approved)
@@ -330,8 +328,8 @@ ORACLES = {
         source || '/doc' || doc_id || '.log' as relative_path from documents where doc_id % 2 = 0""",
     "anonymize_corpus": _ANON + ", " + _TREE.format("anon") + " select relative_path, md5(text) as md5 from tree",
     "reveal_corpus": _BASE + ", " + _TREE.format("lines") + " select relative_path, md5(text) as md5 from tree",
-    "run_report": """select count(*) as processed, count_if(doc_id % 3 <> 0) as success,
-        count_if(doc_id % 3 = 0) as failed from documents""",
+    "run_report": """select count(*) as processed, cast(count_if(doc_id % 3 <> 0) as bigint) as success,
+        cast(count_if(doc_id % 3 = 0) as bigint) as failed from documents""",
     "stream_anonymize": _ANON + " select line_id, line from anon",
     "stream_new_identifiers": _SCAN + " select t as identifier_type, value from ids",
     "stream_map_growth": _GENERATE + f" select {_ENTRY}, 'project' as scope, true as preserve_format from full_map",

@@ -348,7 +348,8 @@ def run_report(spark, sf):
 def _line_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return log_lines_of(events, with_time=True)
+    # Event time must be an instant; the table holds wall-clock times.
+    return log_lines_of(events.withColumn("ts", F.col("ts").cast("timestamp")), with_time=True)
 
 
 def stream_anonymize(spark, sf):
@@ -373,7 +374,7 @@ def stream_map_growth(spark, sf):
 def stream_type_window(spark, sf):
     found = detect.detect_all(_line_stream(spark, sf), [_KEY, "ts"], _TEXT)
     counts = streams.type_counts_by_window(found, "ts")
-    return _complete(counts)
+    return _complete(counts).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def _complete(counts: DataFrame) -> DataFrame:
