@@ -22,13 +22,15 @@ _TEN, _SEVENTEEN = 256 * 254 * 254, 16 * 256 * 254
 _ANY_PRIVATE = _TEN + _SEVENTEEN + 256 * 254
 _PER_PREFIX = 254 * 254
 _PER_OUI = 1 << 24
+# Up to this many rows one window per group is as good as bucketed ranks.
+_FEW_ROWS = 1_000_000
 # Odd and coprime to the layouts above, so multiplication permutes the slots.
 _STRIDE = 7_368_787
 _NUMBER = r"([0-9]{1,15})"
 
 
 def _pick(pool, index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, pool)), index.cast("int"))
+    return F.get(F.split(F.lit(" ".join(pool)), " "), index.cast("int"))
 
 
 def _hex(start: int, length: int, column: str = "h") -> Column:
@@ -59,25 +61,29 @@ def _padded(number: Column, width) -> Column:
                   ).otherwise(digits)
 
 
-def _numbered(requests: DataFrame, names: DataFrame, group: str, pattern: str) -> DataFrame:
+def _numbered(requests: DataFrame, names: DataFrame, group: str, pattern: str,
+              small: bool) -> DataFrame:
     """Adds `number`, dense per group, above every number `pattern` (group name, number)
     finds in `names.name`."""
     floors = (names.select(F.regexp_extract("name", pattern, 1).alias(group),
                            F.regexp_extract("name", pattern, 2).alias("_n"))
               .where("_n <> ''").groupBy(group)
               .agg(F.max(F.col("_n").cast("bigint")).alias("_floor")))
-    ranked = ordinal(requests, [group], F.substring("h", 1, 4), [F.col("h"), F.col("original_value")])
+    ranked = ordinal(requests, [group], F.substring("h", 1, 4),
+                     [F.col("h"), F.col("original_value")], small=small)
     # At most one row per word of a fixed list, so the join never shuffles the requests.
-    known = floors.where(F.col(group).isin(*HOST_WORDS, *ACCOUNT_STEMS))
+    known = floors.where(F.array_contains(
+        F.split(F.lit(" ".join(HOST_WORDS + ACCOUNT_STEMS)), " "), F.col(group)))
     return ranked.join(F.broadcast(known), group, "left").withColumn(
         "number", F.col("ordinal") + F.coalesce("_floor", F.lit(0))).drop("_floor", "ordinal")
 
 
-def host_labels(requests: DataFrame, names: DataFrame) -> DataFrame:
+def host_labels(requests: DataFrame, names: DataFrame, small: bool = False) -> DataFrame:
     """Adds `label`, SRV-{WORD}-{NN}, unique among the requests and unused in `names`."""
     words = "|".join(HOST_WORDS)
     named = requests.withColumn("word", _pick(HOST_WORDS, _hex(1, 2) % len(HOST_WORDS)))
-    numbered = _numbered(named, names, "word", rf"^(?:\\\\)?SRV-({words})-{_NUMBER}(?![0-9])")
+    numbered = _numbered(named, names, "word", rf"^(?:\\\\)?SRV-({words})-{_NUMBER}(?![0-9])",
+                         small)
     return numbered.withColumn("label", F.concat(
         F.lit("SRV-"), F.col("word"), F.lit("-"), _padded(F.col("number"), F.lit(2)))
     ).drop("word", "number")
@@ -102,15 +108,15 @@ def _host_name(label: Column, original: Column, suffix: str, preserve_format: bo
     return F.when(dotted & named, F.concat(label, F.lit("."), _masked_domain(rest))).otherwise(label)
 
 
-def fake_hostname(requests, names, suffix="mask", preserve_format=True) -> DataFrame:
-    return host_labels(requests, names).withColumn("anonymized_value", _host_name(
+def fake_hostname(requests, names, suffix="mask", preserve_format=True, small=False) -> DataFrame:
+    return host_labels(requests, names, small).withColumn("anonymized_value", _host_name(
         F.col("label"), F.col("original_value"), suffix, preserve_format))
 
 
-def fake_upn(requests, names, upn_domain="mask", preserve_format=True) -> DataFrame:
+def fake_upn(requests, names, upn_domain="mask", preserve_format=True, small=False) -> DataFrame:
     stems = "|".join(ACCOUNT_STEMS)
     named = requests.withColumn("stem", _pick(ACCOUNT_STEMS, _hex(5, 2) % len(ACCOUNT_STEMS)))
-    numbered = _numbered(named, names, "stem", rf"^({stems}){_NUMBER}@")
+    numbered = _numbered(named, names, "stem", rf"^({stems}){_NUMBER}@", small)
     domain = F.substring_index("original_value", "@", -1)
     listed = _pick(FAKE_DOMAINS, _hex(7, 4) % len(FAKE_DOMAINS))
     if not preserve_format:
@@ -147,16 +153,20 @@ def _octets(names: DataFrame, pattern: str) -> DataFrame:
 _PLAIN_ADDRESS = r"^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.([1-9][0-9]{0,2})(?:/([0-9]{1,2}))?$"
 
 
-def _allocate(requests: DataFrame, taken: DataFrame, group) -> DataFrame:
-    ranked = ordinal(requests, group, F.substring("h", 1, 3), [F.col("h"), F.col("original_value")])
-    return free_slots(ranked, taken, group)
+def _allocate(requests: DataFrame, taken: DataFrame, group, small: bool = False) -> DataFrame:
+    ranked = ordinal(requests, group, F.substring("h", 1, 3),
+                     [F.col("h"), F.col("original_value")], small=small)
+    return free_slots(ranked, taken, group, small=small)
 
 
-def fake_address(requests: DataFrame, names: DataFrame, preserve_format: bool = True) -> DataFrame:
+def fake_address(requests: DataFrame, names: DataFrame, preserve_format: bool = True,
+                 rows: int | None = None) -> DataFrame:
     """ipv4 and cidr: first two octets and /prefix kept, the last two in 1..254.
 
     Where a /16 has no address left, the remaining identifiers get any free private one.
+    `rows`, if known, bounds requests and names together: too few cannot fill a /16.
     """
+    small = rows is not None and rows <= _FEW_ROWS
     asked = requests.withColumns({
         "mask": F.when(F.contains("original_value", F.lit("/")),
                        F.substring_index("original_value", "/", -1)).otherwise(""),
@@ -175,7 +185,7 @@ def fake_address(requests: DataFrame, names: DataFrame, preserve_format: bool =
             "mask", (at * back % _ANY_PRIVATE).alias("slot"))
         spot = F.col("slot") * _STRIDE % _ANY_PRIVATE
         full = F.when(F.col("slot") >= _ANY_PRIVATE, F.raise_error(F.lit("no private address left")))
-        return _allocate(rows, taken, ["mask"]).withColumn(
+        return _allocate(rows, taken, ["mask"], small).withColumn(
             "_ip", F.coalesce(full.cast("string"), _any_private(spot)))
 
     if not preserve_format:
@@ -184,11 +194,14 @@ def fake_address(requests: DataFrame, names: DataFrame, preserve_format: bool =
         kept = used.where(F.col("o3").between(1, 254) & F.col("o4").between(1, 254)).select(
             F.concat_ws(".", F.col("o1"), F.col("o2")).alias("prefix"), "mask",
             ((F.col("o3") - 1) * 254 + F.col("o4") - 1).alias("slot"))
-        slots = materialize(_allocate(asked, kept, ["prefix", "mask"]), "addresses")
+        slots = _allocate(asked, kept, ["prefix", "mask"], small)
+        may_overflow = rows is None or rows >= _PER_PREFIX
+        if may_overflow:
+            slots = materialize(slots, "addresses")
         placed = slots.where(F.col("slot") < _PER_PREFIX).withColumn("_ip", F.concat_ws(
             ".", F.col("prefix"), F.floor(F.col("slot") / 254) + 1, F.col("slot") % 254 + 1))
         rest = slots.where(F.col("slot") >= _PER_PREFIX)
-        if not rest.isEmpty():
+        if may_overflow and not rest.isEmpty():
             given = placed.select(F.concat("_ip", F.when(F.col("mask") != "", F.concat(
                 F.lit("/"), "mask")).otherwise("")).alias("name"))
             placed = placed.unionByName(anywhere(
@@ -197,9 +210,11 @@ def fake_address(requests: DataFrame, names: DataFrame, preserve_format: bool =
         "_ip", F.when(F.col("mask") != "", F.concat(F.lit("/"), "mask")).otherwise("")))
 
 
-def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True) -> DataFrame:
+def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True,
+             rows: int | None = None) -> DataFrame:
     """First three octets kept (lower case with colons, as they are with hyphens), the last
-    three new; a mixed address counts as one with colons."""
+    three new; a mixed address counts as one with colons.  `rows` as in `fake_address`."""
+    small = rows is not None and rows <= _FEW_ROWS
     original = F.col("original_value")
     mark = F.when(F.contains(original, F.lit(":")), F.lit(":")).otherwise(F.lit("-"))
     octets = F.split(F.replace(original, F.lit("-"), F.lit(":")), ":", -1)
@@ -223,13 +238,16 @@ def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True
     device = F.regexp_replace(F.lower("oui"), "[:-]", "")
 
     def place(rows: DataFrame) -> DataFrame:
-        slots = _allocate(rows.withColumn("device", device), taken, ["device"])
+        slots = _allocate(rows.withColumn("device", device), taken, ["device"], small)
         tail = F.lpad(F.lower(F.hex(F.col("slot") * _STRIDE % _PER_OUI)), 6, "0")
         return slots.withColumn("anonymized_value", F.concat(
             "oui", "mark", F.substring(tail, 1, 2), "mark", F.substring(tail, 3, 2), "mark",
             F.substring(tail, 5, 2)))
 
-    placed = materialize(place(asked), "macs")
+    placed = place(asked)
+    if rows is not None and rows < _PER_OUI:
+        return placed
+    placed = materialize(placed, "macs")
     full = placed.where(F.col("slot") >= _PER_OUI)
     if full.isEmpty():
         return placed
@@ -325,13 +343,16 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
         F.coalesce(checked.cast("string"), kind).alias("identifier_type"), "original_value",
         salted_md5(value, salt).alias("h")), "identifiers")
     names = fresh.select(F.col("original_value").alias("name"))
+    rows = 2 * fresh.count()
     if existing is not None:
+        rows += 2 * existing.count()
         names = names.unionByName(existing.select(F.col("original_value").alias("name"))).unionByName(
             existing.select(F.col("anonymized_value").alias("name")))
 
+    small = rows <= _FEW_ROWS
     of = lambda *types: fresh.where(kind.isin(*types))
     hosts = of("hostname") if linked else of("hostname", "unc")
-    labels = host_labels(hosts, names)
+    labels = host_labels(hosts, names, small)
     host_fakes = labels.where(kind == "hostname").withColumn("anonymized_value", _host_name(
         F.col("label"), value, suffix, preserve_format))
     if linked:
@@ -344,18 +365,19 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
             known, F.col("original_value") == known["server"], "left_anti").withColumn(
             "h", salted_md5(value, salt))
         taken = names.unionByName(known.select(F.col("fake_server").alias("name")))
-        added = fake_hostname(unknown, taken, suffix, preserve_format).select(
+        added = fake_hostname(unknown, taken, suffix, preserve_format, small).select(
             value.alias("server"), F.col("anonymized_value").alias("fake_server"))
         paths = fake_unc_linked(of("unc"), known.unionByName(added), salt, unc_tail, preserve_format)
     else:
         paths = fake_unc_alone(labels.where(kind == "unc"), suffix, unc_tail, preserve_format)
 
     fakes = [
-        fake_address(of("ipv4", "cidr"), names, preserve_format),
-        host_fakes, fake_upn(of("upn"), names, upn_domain, preserve_format),
-        fake_guid(of("guid")), fake_sid(of("sid")), fake_mac(of("mac"), names, preserve_format), paths,
+        fake_address(of("ipv4", "cidr"), names, preserve_format, rows),
+        host_fakes, fake_upn(of("upn"), names, upn_domain, preserve_format, small),
+        fake_guid(of("guid")), fake_sid(of("sid")),
+        fake_mac(of("mac"), names, preserve_format, rows), paths,
     ]
-    rows = reduce(DataFrame.unionByName, [
+    entries = reduce(DataFrame.unionByName, [
         f.select("identifier_type", "original_value", "anonymized_value") for f in fakes])
-    return rows.withColumns({"scope": F.lit(scope), "preserve_format": F.lit(preserve_format)}).select(
+    return entries.withColumns({"scope": F.lit(scope), "preserve_format": F.lit(preserve_format)}).select(
         MAP_COLUMNS)

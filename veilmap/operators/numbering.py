@@ -2,7 +2,8 @@
 
 A group may hold a third of all rows, so no window ever spans one: rows are ranked
 inside small buckets and the counts of the earlier buckets are added.  Buckets follow
-the sort order, hence the result equals one `row_number` over the whole group.
+the sort order, hence the result equals one `row_number` over the whole group.  Where the
+caller has checked that all rows together are few (`small`), that one window is used.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 _SLOTS_PER_BUCKET = 1 << 16
 
 
-def ordinal(df: DataFrame, group, bucket: Column, order, name: str = "ordinal") -> DataFrame:
+def ordinal(df: DataFrame, group, bucket: Column, order, name: str = "ordinal",
+            small: bool = False) -> DataFrame:
     """1, 2, 3, ... inside `group` ordered by (bucket, order)."""
     group = list(group)
+    if small:
+        whole = W.partitionBy(*group).orderBy(bucket, *order)
+        return df.withColumn(name, F.row_number().over(whole).cast("bigint"))
     df = df.withColumn("_bucket", bucket)
     inside = W.partitionBy(*group, "_bucket").orderBy(*order)
     earlier = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -27,7 +32,7 @@ def ordinal(df: DataFrame, group, bucket: Column, order, name: str = "ordinal")
 
 
 def free_slots(requests: DataFrame, taken: DataFrame, group, rank: str = "ordinal",
-               slot: str = "slot") -> DataFrame:
+               slot: str = "slot", small: bool = False) -> DataFrame:
     """Gives the request of rank k (from 1) the k-th slot (from 0) of its group that is
     not taken.
 
@@ -37,13 +42,18 @@ def free_slots(requests: DataFrame, taken: DataFrame, group, rank: str = "ordina
     """
     group = list(group)
     held = ordinal(taken.select(*group, slot).distinct(), group,
-                   F.floor(F.col(slot) / _SLOTS_PER_BUCKET), [F.col(slot)], "_j")
+                   F.floor(F.col(slot) / _SLOTS_PER_BUCKET), [F.col(slot)], "_j", small)
     steps = (held.groupBy(*group, (F.col(slot) - F.col("_j") + 1).alias("_key"))
              .agg(F.count("*").alias("_taken")))
     others = [c for c in requests.columns if c not in group]
     events = requests.select("*", (F.col(rank) - 1).alias("_key"), F.lit(0).cast("bigint").alias("_taken"),
                              F.lit(1).alias("_asks")).unionByName(
         steps.select(*group, "_key", "_taken", F.lit(0).alias("_asks")), allowMissingColumns=True)
+    if small:
+        whole = (W.partitionBy(*group).orderBy("_key", "_asks")
+                 .rowsBetween(W.unboundedPreceding, W.currentRow))
+        return (events.withColumn("_passed", F.sum("_taken").over(whole)).where("_asks = 1")
+                .select(*group, *others, (F.col("_key") + F.col("_passed")).alias(slot)))
     events = events.withColumn("_bucket", F.floor(F.col("_key") / _SLOTS_PER_BUCKET))
     earlier = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     before = (steps.groupBy(*group, F.floor(F.col("_key") / _SLOTS_PER_BUCKET).alias("_bucket"))
