@@ -8,6 +8,7 @@ dotted or hyphenated run cannot exhaust the stack of a task.
 
 import sys
 import unicodedata
+from functools import lru_cache
 
 _WORD = r"[\p{L}\p{N}_]"
 # Two look-behinds, because the cheap one already rejects the inside of an ASCII word.
@@ -121,6 +122,7 @@ OCTET_TOO_LARGE = r"2(?:5[6-9]|[6-9][0-9])|[3-9][0-9][0-9]"
 DATE_SHAPE = r"^\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}\n?\z"
 
 
+@lru_cache
 def decimal_digit_table() -> tuple[str, str]:
     """Every decimal digit of Unicode outside ASCII, and its ASCII counterpart."""
     wide = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]

@@ -5,8 +5,6 @@ No expression is quadratic in the size of a text: short arrays are summed direct
 long ones take a doubling scan of n log n steps.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,10 +22,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def contains_any(text: Column, needles) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(n)) for n in needles))
-
-
 def split_at_matches(text: Column, pattern: str) -> Column:
     """[gap, match, gap, match, ..., gap]; their concatenation is the text."""
     return F.when(F.contains(text, F.lit(MARK)), _split_twice(text, pattern)).otherwise(
@@ -49,80 +43,83 @@ def _split_twice(text: Column, pattern: str) -> Column:
 def doubling_scan(values: Column, combine) -> Column:
     """Inclusive running `combine` (sum, greatest) over an array in n log n steps."""
     steps = F.filter(
-        F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+        F.expr("transform(sequence(0, 30), k -> shiftleft(1, k))"), lambda s: s < F.size(values))
     return F.aggregate(
         steps, values,
         lambda acc, step: F.transform(acc, lambda x, i: F.when(
             i >= step, combine(x, F.get(acc, i - step))).otherwise(x)))
 
 
-def _span(start: Column, value: Column) -> Column:
-    return F.struct(start.alias("start_pos"), (start + F.length(value)).alias("end_pos"),
-                    value.alias("value"))
+def sql_string(value: str) -> str:
+    """A SQL literal; raw where possible, so that patterns read as they are."""
+    if "'" not in value and not value.endswith("\\"):
+        return f"r'{value}'"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _odd_indexes(parts: Column) -> Column:
-    return F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+# The long expressions below are SQL text: one parse instead of thousands of calls from
+# Python to the JVM.  `p` is an array [gap, match, gap, ...], `m` the marked text.
+_NO_SPANS = f"cast(array() as {_SPAN_ARRAY})"
+_ODD = "sequence(1, size(p) - 2, 2)"
+_SCAN = """aggregate(
+  filter(transform(sequence(0, 30), k -> shiftleft(1, k)), s -> s < size({values})), {values},
+  (acc, step) -> transform(acc, (x, i) -> if(i >= step, {combine}, x)))"""
 
 
-def _place_few(marked: Column, parts: Column) -> Column:
-    """The text before the i-th mark, less the marks in it, ends where match i starts."""
-    return F.transform(_odd_indexes(parts), lambda i: _span(
-        F.length(F.call_function("substring_index", marked, F.lit(MARK), i)) - i + 1, F.get(parts, i)))
+def _spans_at(start: str) -> str:
+    return (f"transform({_ODD}, i -> named_struct('start_pos', {start}, "
+            f"'end_pos', {start} + length(get(p, i)), 'value', get(p, i)))")
 
 
-def _place_many(parts: Column) -> Column:
-    ends = doubling_scan(F.transform(parts, lambda x: F.length(x)), lambda a, b: a + b)
-    return let(ends, lambda e: F.transform(
-        _odd_indexes(parts), lambda i: _span(F.get(e, i - 1), F.get(parts, i))))
+# The text before the i-th mark, less the marks in it, ends where match i starts.
+_PLACE_FEW = _spans_at("length(substring_index(m, char(1), i)) - i + 1")
+_PLACE_MANY = (
+    "get(transform(array(" + _SCAN.format(
+        values="transform(p, x -> length(x))", combine="x + get(acc, i - step)")
+    + f"), e -> {_spans_at('get(e, i - 1)')}), 0)")
 
 
-def find_spans(text: Column, pattern: str, required=()) -> Column:
-    """All leftmost, non-overlapping matches of `pattern` as (start_pos, end_pos, value).
+def find_spans(text: str, pattern: str, required=()) -> Column:
+    """All leftmost, non-overlapping matches of `pattern` in the column named `text`, as an
+    array of (start_pos, end_pos, value).
 
     `required` lists groups of substrings; a text lacking all members of one group
     cannot match and skips the regex.  A null text gives a null array.
     """
-    none = F.array().cast(_SPAN_ARRAY)
-    spans = F.when(
-        F.contains(text, F.lit(MARK)),
-        let(_split_twice(text, pattern), lambda p: F.when(
-            F.size(p) > 1, _place_many(p)).otherwise(none)),
-    ).otherwise(let(_marked(text, pattern), lambda marked: let(
-        F.split(marked, MARK, -1), lambda p: (
-            F.when(F.size(p) <= 1, none)
-            .when(F.size(p) <= _FEW, _place_few(marked, p))
-            .otherwise(_place_many(p))))))
+    rx = sql_string(pattern)
+    twice = (f"slice(flatten(zip_with(split({text}, {rx}, -1), concat(regexp_extract_all({text}, {rx}, 0), "
+             f"array('')), (g, v) -> array(g, v))), 1, size(regexp_extract_all({text}, {rx}, 0)) * 2 + 1)")
+    spans = f"""if(contains({text}, char(1)),
+      get(transform(array({twice}), p -> if(size(p) <= 1, {_NO_SPANS}, {_PLACE_MANY})), 0),
+      get(transform(array(regexp_replace({text}, {rx}, concat(char(1), '$0', char(1)))), m ->
+        get(transform(array(split(m, char(1), -1)), p -> case when size(p) <= 1 then {_NO_SPANS}
+          when size(p) <= {_FEW} then {_PLACE_FEW} else {_PLACE_MANY} end), 0)), 0))"""
     for group in required:
-        spans = F.when(contains_any(text, group), spans).otherwise(none)
-    return F.when(text.isNotNull(), spans)
-
-
-def drop_contained(inner: Column, outer: Column) -> Column:
-    """Elements of `inner` that lie inside no element of `outer` (both ordered by start)."""
-    def pairwise() -> Column:
-        return F.filter(inner, lambda x: ~F.exists(
-            outer, lambda o: (o["start_pos"] <= x["start_pos"]) & (x["end_pos"] <= o["end_pos"])))
-
-    # Large case: sort both kinds together; the furthest end among the outer spans that
-    # start no later decides, whatever their number.
-    def merged() -> Column:
-        event = lambda s, kind, reach: F.struct(
-            s["start_pos"].alias("at"), F.lit(kind).alias("kind"), reach.alias("reach"))
-        events = F.sort_array(F.concat(
-            F.transform(outer, lambda o: event(o, 0, o["end_pos"])),
-            F.transform(inner, lambda x: event(x, 1, F.lit(-1)))))
-        reach = lambda ev: doubling_scan(
-            F.transform(ev, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
-        kept = lambda ev: F.filter(
-            F.zip_with(ev, reach(ev), lambda e, r: F.struct(
-                e["kind"].alias("kind"), r.alias("reach"))), lambda e: e["kind"] == 1)
-        return let(let(events, kept), lambda far: F.filter(
-            inner, lambda x, i: x["end_pos"] > F.get(far, i)["reach"]))
-
-    return (F.when(F.size(outer) == 0, inner)
-            .when(F.size(inner).cast("long") * F.size(outer) <= 4096, pairwise())
-            .otherwise(merged()))
+        present = " or ".join(f"contains({text}, {sql_string(n)})" for n in group)
+        spans = f"if({present}, {spans}, {_NO_SPANS})"
+    return F.expr(f"if({text} is not null, {spans}, null)")
+
+
+def drop_contained(inner: str, outer: list[str]) -> Column:
+    """Elements of the span column `inner` that lie inside no element of the span columns
+    `outer`; `inner` is ordered by start.
+
+    Small cases compare pairs.  In large ones both kinds are sorted together, and the
+    furthest end among the outer spans that start no later decides.
+    """
+    pairwise = (f"filter({inner}, x -> not exists(o, y -> y.start_pos <= x.start_pos "
+                "and x.end_pos <= y.end_pos))")
+    events = (
+        "sort_array(concat(transform(o, y -> named_struct('at', y.start_pos, 'kind', 0, 'reach', y.end_pos)), "
+        f"transform({inner}, x -> named_struct('at', x.start_pos, 'kind', 1, 'reach', -1))))")
+    reach = _SCAN.format(values="transform(ev, e -> e.reach)", combine="greatest(x, get(acc, i - step))")
+    merged = f"""get(transform(array({events}), ev -> get(transform(array(
+        filter(zip_with(ev, {reach}, (e, r) -> named_struct('kind', e.kind, 'reach', r)), z -> z.kind = 1)),
+        far -> filter({inner}, (x, j) -> x.end_pos > get(far, j).reach)), 0)), 0)"""
+    return F.expr(f"""get(transform(array(concat({', '.join(outer)})), o -> case
+        when size(o) = 0 then {inner}
+        when cast(size({inner}) as bigint) * size(o) <= 4096 then {pairwise}
+        else {merged} end), 0)""")
 
 
 def chunks(text: Column) -> Column:

@@ -162,11 +162,12 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
         wanted.add("upn")
 
     rows = df.select(*keys, F.col(text).alias("_text"))
-    spans = {f"_{k}": find_spans(source, getattr(P, k.upper()), P.REQUIRED_SUBSTRINGS.get(k, ()))
+    spans = {f"_{k}": find_spans("_text", getattr(P, k.upper()), P.REQUIRED_SUBSTRINGS.get(k, ()))
              for k in wanted}
-    spans |= {f"_extra{i}": find_spans(source, rx) for i, (_, rx, _) in enumerate(extra)}
+    spans |= {f"_extra{i}": find_spans("_text", rx) for i, (_, rx, _) in enumerate(extra)}
     if "_upn" in spans:
-        spans["_upn"] = F.filter(spans["_upn"], lambda s: corporate_address(s["value"]))
+        rows = rows.withColumn("_any_upn", spans.pop("_upn"))
+        spans["_upn"] = F.filter("_any_upn", lambda s: corporate_address(s["value"]))
     has_hosts = any(k in kinds for k in _HOST_KINDS)
     if has_hosts:
         spans |= {"_length": F.length(source), 
@@ -177,31 +178,27 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
     if not hosts_in_upn:
         covers["_fqdn"] = ["_upn"]
         covers["_netbios"] = covers["_netbios"] + ["_upn"]
-    dropped = {c: drop_contained(F.col(c), F.concat(*map(F.col, by)))
+    dropped = {c: drop_contained(c, by)
                for c, by in covers.items() if c[1:] in kinds and by}
     if has_hosts:
         dropped["_pieces"] = F.when(
             (F.col("_length") > _LONG_TEXT) & F.col("_telling"), chunks(source))
     rows = rows.withColumns(dropped) if dropped else rows
 
-    def tagged(column: str, kind: str) -> Column:
-        return F.transform(F.col(column), lambda s: F.struct(
-            F.lit(kind).alias("_kind"), s["value"].alias("value"),
-            s["start_pos"].alias("start_pos"), s["end_pos"].alias("end_pos")))
-
     names = {**{f"_{k}": k for k in kinds}, **{f"_extra{i}": f"extra{i}" for i in range(len(extra))}}
-    hits = F.concat(*[tagged(c, k) for c, k in names.items()]) if len(names) > 1 else tagged(
-        *next(iter(names.items())))
+    tagged = ", ".join(
+        f"transform({c}, s -> named_struct('_kind', '{k}', 'value', s.value, "
+        "'start_pos', s.start_pos, 'end_pos', s.end_pos))" for c, k in names.items())
+    hits = f"concat({tagged})" if len(names) > 1 else tagged
     if first_per_value:
         # Sorted by kind, value and position; equal kinds and values are neighbours.
-        hits = let(F.sort_array(hits), lambda h: F.filter(h, lambda x, i: (
-            (i == 0) | (x["_kind"] != F.get(h, i - 1)["_kind"])
-            | (x["value"] != F.get(h, i - 1)["value"]))))
+        hits = (f"get(transform(array(sort_array({hits})), h -> filter(h, (x, i) -> i = 0 "
+                "or x._kind <> get(h, i - 1)._kind or x.value <> get(h, i - 1).value)), 0)")
 
     # The outer explode with a later null filter keeps the optimizer from pushing a size
     # test below the projection, where it would run every regex a second time.
     context = ["_text", "_length", "_telling", "_pieces"] if has_hosts else []
-    found = (rows.select(*keys, *context, F.explode_outer(hits).alias("_hit"))
+    found = (rows.select(*keys, *context, F.explode_outer(F.expr(hits)).alias("_hit"))
              .where(F.col("_hit").isNotNull())
              .select(*keys, *context, "_hit.*"))
 
