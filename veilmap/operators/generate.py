@@ -68,7 +68,7 @@ def _numbered(requests: DataFrame, names: DataFrame, group: str, pattern: str,
     floors = (names.select(F.regexp_extract("name", pattern, 1).alias(group),
                            F.regexp_extract("name", pattern, 2).alias("_n"))
               .where("_n <> ''").groupBy(group)
-              .agg(F.max(F.col("_n").cast("bigint")).alias("_floor")))
+              .agg(F.max(F.col("_n").try_cast("bigint")).alias("_floor")))
     ranked = ordinal(requests, [group], F.substring("h", 1, 4),
                      [F.col("h"), F.col("original_value")], small=small)
     # At most one row per word of a fixed list, so the join never shuffles the requests.
@@ -147,7 +147,7 @@ def _any_private(position: Column) -> Column:
 def _octets(names: DataFrame, pattern: str) -> DataFrame:
     found = names.select(*[F.regexp_extract("name", pattern, i).alias(f"o{i}") for i in range(1, 6)])
     return found.where("o1 <> ''").select(
-        *[F.col(f"o{i}").cast("bigint").alias(f"o{i}") for i in range(1, 5)], F.col("o5").alias("mask"))
+        *[F.col(f"o{i}").try_cast("bigint").alias(f"o{i}") for i in range(1, 5)], F.col("o5").alias("mask"))
 
 
 _PLAIN_ADDRESS = r"^(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.(0|[1-9][0-9]{0,2})\.([1-9][0-9]{0,2})(?:/([0-9]{1,2}))?$"
