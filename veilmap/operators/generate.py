@@ -24,6 +24,7 @@ _PER_PREFIX = 254 * 254
 _PER_OUI = 1 << 24
 # Up to this many rows one window per group is as good as bucketed ranks.
 _FEW_ROWS = 1_000_000
+_SALTS = 16
 # Odd and coprime to the layouts above, so multiplication permutes the slots.
 _STRIDE = 7_368_787
 _NUMBER = r"([0-9]{1,15})"
@@ -315,7 +316,10 @@ def fake_unc_linked(requests: DataFrame, servers: DataFrame, salt: str, tail="ke
         "server", "share", "fake_server",
         (F.when(F.col("share") == "", "").otherwise(fake_share) if preserve_format
          else F.col("share")).alias("fake_share"))
-    return rows.join(known, ["server", "share"]).withColumn(
+    # One share may hold most of the paths: spread it over several copies of its entry.
+    rows = rows.withColumn("_salt", F.pmod(F.hash("original_value"), F.lit(_SALTS)))
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.join(known, ["server", "share", "_salt"]).withColumn(
         "anonymized_value", _unc_path(F.col("fake_server"), F.col("fake_share"), tail))
 
 

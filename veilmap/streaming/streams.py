@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmap.operators.findings import scan, unique_identifiers
-from veilmap.plans.pipelines import grow_map
+from veilmap.operators.generate import generate_map
 from veilmap.schemas import MAP
 from veilmap.sources.storage import new_path
 
@@ -31,33 +31,30 @@ def type_counts_by_window(findings: DataFrame, time: str, length: str = "1 hour"
 
 
 class MapGrowth:
-    """foreachBatch sink that adds every new identifier of a micro-batch to a stored map.
+    """foreachBatch sink that adds the new identifiers of each micro-batch to a stored map.
 
-    Each batch writes a new version of the map named after the batch, so a batch that is
-    repeated after a failure starts from the version before it and writes the same one.
+    A batch writes only its own entries, into a folder named after it.  A batch that is
+    repeated after a failure looks at the earlier folders alone and writes the same again.
     """
 
     def __init__(self, folder: str, key, text: str, **rules):
         self.folder, self.key, self.text, self.rules = folder.rstrip("/"), key, text, rules
 
-    def version(self, batch: int) -> str:
-        return f"{self.folder}/version={batch:012d}"
+    def _part(self, batch: int) -> str:
+        return f"{self.folder}/batch={batch:012d}"
 
-    def current(self, spark, before: int | None = None) -> DataFrame | None:
-        """The latest complete version, or the latest before a batch."""
-        jvm = spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/_SUCCESS")
-        done = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        numbers = [int(s.getPath().getParent().getName().split("=")[1]) for s in done or []]
-        numbers = [n for n in numbers if before is None or n < before]
-        return spark.read.parquet(self.version(max(numbers))) if numbers else None
+    def current(self, spark, before: int | None = None) -> DataFrame:
+        """The map of all complete batches, or of those before a batch."""
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")
+        found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+        numbers = [int(s.getPath().getParent().getName().split("=")[1]) for s in found or []]
+        parts = [self._part(n) for n in sorted(numbers) if before is None or n < before]
+        return spark.read.schema(MAP).parquet(*parts) if parts else spark.createDataFrame([], MAP)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = self.current(spark, batch_id)
         found = unique_identifiers(scan(batch, self.key, self.text), self.key)
-        old = spark.createDataFrame([], MAP) if old is None else old
-        grow_map(old, found, **self.rules).write.mode("overwrite").parquet(self.version(batch_id))
+        known = self.current(batch.sparkSession, batch_id)
+        generate_map(found, known, **self.rules).write.mode("overwrite").parquet(self._part(batch_id))
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
