@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmap.functions.literals import literal_pattern
 from veilmap.operators.detect import as_keys
-from veilmap.operators.replace import anonymize, bounded_pairs, find_mapped, reveal
+from veilmap.operators.replace import (
+    anonymize, bounded_pairs, bounded_pattern, find_mapped, reveal,
+)
 
 
 def roundtrip(df: DataFrame, m: DataFrame, key, text: str, order=None) -> DataFrame:
@@ -29,11 +30,12 @@ def residual_leaks(df: DataFrame, m: DataFrame, key, text: str) -> DataFrame:
     """Keys of the documents in which some original value still occurs."""
     keys = as_keys(key)
     pairs = bounded_pairs(m)
-    if pairs is None:
-        return find_mapped(df, keys, text, m).select(*keys).distinct()
-    if not pairs:
+    if pairs == {}:
         return df.select(*keys).limit(0)
-    return df.where(F.rlike(F.col(text), F.lit(literal_pattern(pairs)[0]))).select(*keys)
+    pattern = None if pairs is None else bounded_pattern(pairs)
+    if pattern is None:
+        return find_mapped(df, keys, text, m).select(*keys).distinct()
+    return df.where(F.rlike(F.col(text), F.lit(pattern))).select(*keys)
 
 
 def ambiguous_fakes(m: DataFrame) -> DataFrame:
