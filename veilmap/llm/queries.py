@@ -1,8 +1,9 @@
 """Registered queries of this subpackage."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilmap.llm import chat, linechunks, mixing
+from veilmap.llm import chat, linechunks, mixing, simhash, subspace
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +14,12 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return linechunks.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -25,4 +32,8 @@ def op8_chat_format(spark, sf_dir):
     return chat.conversation_digests(chat.format_examples(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op6_line_dedup, op8_chat_format)}
+def op10_embedding_dedup(spark, sf_dir):
+    return subspace.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_simhash, op6_line_dedup, op8_chat_format, op10_embedding_dedup)}
