@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import chat, linechunks, mixing, simhash, subspace
+from veilmap.llm import chat, katz, linechunks, mixing, simhash, subspace
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +32,15 @@ def op8_chat_format(spark, sf_dir):
     return chat.conversation_digests(chat.format_examples(turns))
 
 
+def op9_katz_score(spark, sf_dir):
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
+    found = katz.score(docs)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), *katz.RESULT)
+
+
 def op10_embedding_dedup(spark, sf_dir):
     return subspace.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_simhash, op6_line_dedup, op8_chat_format, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_simhash, op6_line_dedup, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
