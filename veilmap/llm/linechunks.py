@@ -58,8 +58,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         "h", F.xxhash64("chunk"))
     places = materialize(every_chunk.select(KEY, "pos", "h"), "chunk-places")
     again = materialize(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
-    # One row per byte string: its first place and how often it occurs.
-    texts = every_chunk.join(again, "h").groupBy("h", "chunk").agg(
+    # One row per byte string: its first place and how often it occurs.  Merged at every size: a
+    # broadcast would only last as long as the input is small.
+    texts = every_chunk.join(again.hint("merge"), "h").groupBy("h", "chunk").agg(
         F.min(F.struct(KEY, "pos")).alias("first"), F.count("*").alias("n"))
     texts = materialize(texts, "chunk-texts")
     per_hash = texts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("first"))

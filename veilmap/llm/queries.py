@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import chat, katz, linechunks, mixing, simhash, subspace
+from veilmap.llm import chat, katz, linechunks, mixing, simhash, subspace, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    found = substrings.dedup_substrings(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_simhash(spark, sf_dir):
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex64(F.col("fp")).alias("fingerprint"),
@@ -43,4 +48,4 @@ def op10_embedding_dedup(spark, sf_dir):
     return subspace.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op4_simhash, op6_line_dedup, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op4_simhash, op6_line_dedup, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
