@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import chat, katz, linechunks, mixing, simhash, subspace, substrings
+from veilmap.llm import chat, katz, linechunks, mixing, quality, simhash, subspace, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,22 @@ def op4_simhash(spark, sf_dir):
                         F.col("component").alias("component_id"))
 
 
+def fold(id_col: str, folds: int = 5):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds))
+
+
+def quality_model(spark, docs, sf_dir):
+    """Fitted on the labelled documents whose fold is not 0."""
+    labels = _read(spark, sf_dir, "labels").where(fold("doc_id") != 0)
+    return quality.train(docs, labels)
+
+
+def op5_quality_crf(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality_model(spark, docs, sf_dir))
+    return found.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_line_dedup(spark, sf_dir):
     return linechunks.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -38,7 +54,7 @@ def op8_chat_format(spark, sf_dir):
 
 
 def op9_katz_score(spark, sf_dir):
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    held_out = fold("doc_id") == 1
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
     found = katz.score(docs)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), *katz.RESULT)
@@ -48,4 +64,4 @@ def op10_embedding_dedup(spark, sf_dir):
     return subspace.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op4_simhash, op6_line_dedup, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
