@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import chat, katz, linechunks, mixing, quality, simhash, subspace, substrings
+from veilmap.llm import chat, hnsw, katz, linechunks, mixing, pieces, quality, simhash, subspace, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,11 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op2_hnsw(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op3_substring_dedup(spark, sf_dir):
     found = substrings.dedup_substrings(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -45,6 +50,21 @@ def op6_line_dedup(spark, sf_dir):
     return linechunks.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def default_model() -> pieces.Transducer:
+    """The public model file installed with the tokenizers."""
+    import public_tokenizers
+
+    return pieces.Transducer.load(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_sentencepiece(spark, sf_dir):
+    model = default_model()
+    docs = pieces.encode_table(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.coalesce(pieces.decode(F.col("ids"), model).eqNullSafe(F.col("text")), F.lit(False)).alias("round_trip"))
+
+
 def op8_chat_format(spark, sf_dir):
     probe = spark.createDataFrame(
         [(-7, t, r, r"\### Assistant: </turn> ok") for t, r in enumerate(("user", "assistant"))],
@@ -64,4 +84,4 @@ def op10_embedding_dedup(spark, sf_dir):
     return subspace.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hnsw, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op7_sentencepiece, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
