@@ -137,7 +137,7 @@ def _deep_nodes(window: int):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: int = MOST) -> DataFrame:
-    """(d, h, start, end): word spans of repeated windows; `docs` holds d, h (two hashes that name a
+    """(d, h, spans): word spans (start, end) of repeated windows; `docs` holds d, h (two hashes that name a
     row), text and zipped (the text, compressed)."""
     lists = materialize(docs.select("d", "text").mapInArrow(_collect(window, prefix), "d long, kind int, a array<long>"), "prefixes")
     each = lists.select("d", "kind", F.explode("a").alias("a"))
@@ -150,11 +150,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: i
     runs = materialize(runs, "suffixes")
     found = sorted_groups(runs.where("not often").drop("often"), ["a"]).mapInArrow(
         _deep_nodes(window), "d long, h long, start int, end int")
-    # Prefixes that occur very often: whole windows are the prefix, counted before they are shuffled.
-    leaves = runs.where("often").select("d", "h", "start", F.posexplode("w").alias("i", "w"))
-    nodes = leaves.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    at = F.col("start") + F.col("i")
-    return found.unionByName(leaves.join(nodes, "w").select("d", "h", at.alias("start"), (at + window).alias("end")))
+    found = found.select("d", "h", F.array(F.struct("start", "end")).alias("spans"))
+    # Prefixes that occur very often: whole windows are the prefix.  Equal runs of windows are counted
+    # as one before they are shuffled, and get their spans back run by run.
+    often = runs.where("often").select("d", "h", "start", "w")
+    kinds = materialize(often.groupBy("w").agg(F.count("*").alias("n")).withColumn(
+        "run", F.monotonically_increasing_id()), "runs")
+    leaves = kinds.select("run", "n", F.posexplode("w").alias("i", "node"))
+    nodes = leaves.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
+    deep = leaves.join(nodes, "node").groupBy("run").agg(F.sort_array(F.collect_list("i")).alias("at"))
+    deep = materialize(kinds.join(deep, "run").select("w", "at"), "deep-nodes")
+    first, last = F.element_at("at", 1), F.element_at("at", -1)
+    spans = F.when(F.size("at") == last - first + 1, F.array(F.struct(first.alias("start"), (last + window).alias("end")))).otherwise(
+        F.transform("at", lambda i: F.struct(i.alias("start"), (i + window).alias("end"))))
+    placed = F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"),
+                                                     (F.col("start") + x["end"]).alias("end")))
+    hit = often.join(deep.select("w", spans.alias("spans")), "w").select("d", "h", placed.alias("spans"))
+    return found.unionByName(hit)
 
 
 @F.pandas_udf("binary")
@@ -194,7 +206,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = docs.select(F.struct(*others, F.lit(0).alias("_")).alias(ROW), F.xxhash64(F.struct(F.col(id_col), F.col(text))).alias("d"),
                        key["h"].alias("h"), F.col(text).alias("text"), _zipped(F.col(text)).alias("zipped"))
     spans = repeats(rows.select("d", "h", "text", "zipped"), window, prefix, most)
-    spans = spans.groupBy("d", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.groupBy("d", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     joined = rows.drop("text").join(spans, ["d", "h"], "left").select(ROW, _kept("zipped", "spans").alias(KEY))
     columns = [F.col(f"{KEY}.text").alias(text) if c == text else F.col(f"{ROW}.`{c}`").alias(c)
                for c in docs.columns if c not in ("n_words", "n_removed")]
