@@ -7,7 +7,8 @@ from veilmap.sources.storage import materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b: long); root is the smallest node reachable.
+    """(node, root) for every node of `edges` (a, b: long) that reaches a smaller one; root is the
+    smallest it reaches.
 
     Alternating large-star and small-star steps: each round ties nodes to the smallest
     neighbour, so the number of rounds grows with the logarithm of the longest path.  Every

@@ -36,6 +36,10 @@ def chunk_lines(lines: Column, window: int = WINDOW, every: int = EVERY) -> Colu
         spans, lambda s: F.slice(lines, s["start"] + 1, s["end"] - s["start"]))), F.lit(0))), F.lit(0))
 
 
+def chunk_hash(chunk: Column) -> Column:
+    return F.xxhash64(chunk)
+
+
 def _chunks(docs: DataFrame, window: int, every: int) -> DataFrame:
     """(_key, pos, n, chunk): chunks of every document."""
     cut = docs.select(F.col(KEY), chunk_lines(F.split(F.col("text"), "\n", -1), window, every).alias("chunks"))
@@ -55,7 +59,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     base = docs.select(row_key(F.col(id_col), F.col(text)).alias(KEY), F.col(text).alias("text")).where(
         F.col("text").isNotNull())
     every_chunk = _chunks(base, window, every).where(F.col("n") >= min_lines).withColumn(
-        "h", F.xxhash64("chunk"))
+        "h", chunk_hash(F.col("chunk")))
     places = materialize(every_chunk.select(KEY, "pos", "h"), "chunk-places")
     again = materialize(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
     # One row per byte string: its first place and how often it occurs.  Merged at every size: a

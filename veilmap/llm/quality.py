@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmap.llm.common import ROW
 from veilmap.llm.words import PIECE, hashes, pieces, spans
@@ -200,7 +201,10 @@ def fit(x: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray, o
     return model
 
 
-@F.pandas_udf("lines int, x array<double>, size array<double>")
+_SAMPLE = T.StructType().add("lines", "integer").add("x", T.ArrayType(T.DoubleType())).add("size", T.ArrayType(T.DoubleType()))
+
+
+@F.pandas_udf(_SAMPLE)
 def _sampled(texts: pd.Series) -> pd.DataFrame:
     out = []
     for x, size, lines in features(pa.array(texts, pa.string())):

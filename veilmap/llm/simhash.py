@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmap.llm.blocks import block_pairs, smallest_reachable, sorted_groups, whole_groups
 from veilmap.llm.common import KEY, ROW, keyed
@@ -65,7 +66,7 @@ def fingerprint_of(text: str | None, k: int = SHINGLE) -> int:
     return int(set_[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
 
@@ -107,8 +108,8 @@ def _link_blocks(radius: int, keys: list[str]):
 
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, root) for distinct fingerprints (column `fp`) with others within `radius` bits, over
-    any chain of such links.  Links inside a table's bucket are found by comparing blocks of
+    """(fp, root) for distinct fingerprints (column `fp`) that reach a smaller one over links of at
+    most `radius` bits.  Links inside a table's bucket are found by comparing blocks of
     bounded size, of which each hands on a spanning forest instead of all pairs."""
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part"))
                        for i, m in enumerate(covering_masks(radius))])

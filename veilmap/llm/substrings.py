@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilmap.llm.blocks import sorted_groups, whole_groups
 from veilmap.llm.common import KEY, ROW, row_key
@@ -169,13 +170,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: i
     return found.unionByName(hit)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _zipped(texts: pd.Series) -> pd.Series:
     zip_ = zstandard.ZstdCompressor(level=3)
     return pd.Series([zip_.compress((t or "").encode()) for t in texts])
 
 
-@F.pandas_udf("text string, n_words long, n_removed long")
+@F.pandas_udf(T.StructType().add("text", "string").add("n_words", "long").add("n_removed", "long"))
 def _kept(zipped: pd.Series, spans: pd.Series) -> pd.DataFrame:
     unzip, out = zstandard.ZstdDecompressor(), []
     for data, found in zip(zipped, spans):
