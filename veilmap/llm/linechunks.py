@@ -52,28 +52,28 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """(_key, pos): chunks of at least `min_lines` lines whose bytes occur before, ordered by
     document id, text hash and position.
 
-    Hashes of all chunks are counted first, so only chunks whose hash repeats move their bytes.
-    The bytes are compared by grouping on them; a hash that stands for one byte string is then
-    enough to name it.  Different byte strings of one hash are told apart by the bytes.
+    The bytes are compared by grouping on them, combined before the shuffle; where a hash stands for
+    one byte string, it is enough to find the other places.  Byte strings that share a hash are
+    told apart by their bytes.
     """
     base = docs.select(row_key(F.col(id_col), F.col(text)).alias(KEY), F.col(text).alias("text")).where(
         F.col("text").isNotNull())
     every_chunk = _chunks(base, window, every).where(F.col("n") >= min_lines).withColumn(
         "h", chunk_hash(F.col("chunk")))
-    places = materialize(every_chunk.select(KEY, "pos", "h"), "chunk-places")
-    again = materialize(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "chunk-hashes")
-    # One row per byte string: its first place and how often it occurs.  Merged at every size: a
-    # broadcast would only last as long as the input is small.
-    texts = every_chunk.join(again.hint("merge"), "h").groupBy("h", "chunk").agg(
-        F.min(F.struct(KEY, "pos")).alias("first"), F.count("*").alias("n"))
-    texts = materialize(texts, "chunk-texts")
-    per_hash = texts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("first"))
+    # One row per byte string: its first place and how often it occurs.
+    texts = every_chunk.groupBy("h", "chunk").agg(F.min(F.struct(KEY, "pos")).alias("first"), F.count("*").alias("n"))
+    firsts = materialize(texts.select("h", "first", "n"), "chunk-firsts")
+    per_hash = firsts.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    per_hash = materialize(per_hash.where("n > 1"), "chunk-hashes")
     proven = per_hash.where("kinds = 1").select("h", "first")
-    known = places.join(proven, "h").where(F.struct(KEY, "pos") != F.col("first")).select(KEY, "pos")
-    clash = texts.join(per_hash.where("kinds > 1").select("h"), "h").where("n > 1").select("h", "chunk", "first")
-    told = every_chunk.join(clash, ["h", "chunk"]).where(F.struct(KEY, "pos") != F.col("first")).select(KEY, "pos")
-    if per_hash.where("kinds > 1").isEmpty():
+    known = every_chunk.select(KEY, "pos", "h").join(proven, "h").where(
+        F.struct(KEY, "pos") != F.col("first")).select(KEY, "pos")
+    clashes = per_hash.where("kinds > 1").select("h")
+    if clashes.isEmpty():
         return known
+    doubtful = every_chunk.join(clashes, "h")
+    clash = doubtful.groupBy("h", "chunk").agg(F.min(F.struct(KEY, "pos")).alias("first"))
+    told = doubtful.join(clash, ["h", "chunk"]).where(F.struct(KEY, "pos") != F.col("first")).select(KEY, "pos")
     return known.unionByName(told)
 
 
