@@ -84,7 +84,7 @@ def test_full_prefix_overflows_into_free_addresses(ids):
 
 
 def test_number_collision_with_real_names(ids):
-    rows = [("hostname", f"host-{i}") for i in range(2000)] + [("hostname", f"SRV-ALPHA-{i:02d}") for i in range(1, 30)]
+    rows = [("hostname", f"host-{i}") for i in range(2000)] + [("hostname", f"SRV-ASH-{i:02d}") for i in range(1, 30)]
     f = fakes(G.generate_map(ids(rows)))
     assert not set(f) & set(f.values())
 

@@ -135,3 +135,11 @@ def substring_from_chunks(pieces: Column, start: Column, end: Column) -> Column:
     joined = F.when(first == last, F.get(pieces, first)).otherwise(
         F.array_join(F.slice(pieces, first + 1, last - first + 1), ""))
     return F.substring(joined, start - first * _CHUNK + 1, end - start)
+
+
+def substring_from_chunks_sql(pieces: str, start: str, end: str) -> str:
+    """`substring_from_chunks` as SQL text, for use inside lambdas."""
+    first, last = f"({start}) div {_CHUNK}", f"({end}) div {_CHUNK}"
+    joined = (f"if({first} = {last}, get({pieces}, cast({first} as int)), array_join(slice({pieces}, "
+              f"cast({first} as int) + 1, cast({last} - {first} as int) + 1), ''))")
+    return f"substring({joined}, cast({start} - {first} * {_CHUNK} as int) + 1, {end} - ({start}))"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilmap.functions import patterns as P
 from veilmap.functions.literals import literal_pattern
 from veilmap.functions.text import (
-    chunks, drop_contained, find_spans, let, substring_from_chunks,
+    chunks, drop_contained, find_spans, let, sql_string, substring_from_chunks_sql,
 )
 from veilmap.schemas import FINDING_COLUMNS
 
@@ -127,19 +127,18 @@ def _host_confidence() -> Column:
     within reach; at most 95."""
     base = F.when(F.col("_kind") == "fqdn", _KINDS["fqdn"][1]).otherwise(_KINDS["netbios"][1])
     telling = F.rlike(F.lower("value"), F.lit(_TELLING_NAME))
-    near = F.coalesce(F.rlike(F.col("_window"), F.lit(_TELLING_PHRASE)), F.lit(False))
-    points = base + F.when(telling, 10).otherwise(0) + F.when(near, 10).otherwise(0)
+    points = base + F.when(telling, 10).otherwise(0) + F.when(F.col("_near"), 10).otherwise(0)
     return F.least(points, F.lit(95)) / F.lit(100.0)
 
 
-def _context_window() -> Column:
-    """Lower-case text around a match, only where a phrase occurs in the text at all."""
-    start = F.greatest(F.col("start_pos") - P.CONTEXT_CHARS, F.lit(0))
-    end = F.least(F.col("end_pos") + P.CONTEXT_CHARS, F.col("_length"))
-    window = F.when(F.col("_pieces").isNotNull(),
-                    substring_from_chunks(F.col("_pieces"), start, end)).otherwise(
-        F.substring(F.col("_text"), start + 1, end - start))
-    return F.when(F.col("_telling") & F.col("_kind").isin(*_HOST_KINDS), F.lower(window))
+def _near_phrase(span: str) -> str:
+    """Whether a telling phrase occurs in the lower-case text around a span; looked up in
+    the row, so the text itself goes no further than the explode."""
+    start = f"greatest({span}.start_pos - {P.CONTEXT_CHARS}, 0)"
+    end = f"least({span}.end_pos + {P.CONTEXT_CHARS}, _length)"
+    window = (f"if(_pieces is not null, {substring_from_chunks_sql('_pieces', start, end)}, "
+              f"substring(_text, {start} + 1, {end} - {start}))")
+    return f"_telling and rlike(lower({window}), {sql_string(_TELLING_PHRASE)})"
 
 
 def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool = False,
@@ -188,7 +187,8 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
     names = {**{f"_{k}": k for k in kinds}, **{f"_extra{i}": f"extra{i}" for i in range(len(extra))}}
     tagged = ", ".join(
         f"transform({c}, s -> named_struct('_kind', '{k}', 'value', s.value, "
-        "'start_pos', s.start_pos, 'end_pos', s.end_pos))" for c, k in names.items())
+        f"'start_pos', s.start_pos, 'end_pos', s.end_pos, '_near', {_near_phrase('s') if k in _HOST_KINDS else 'false'}))"
+        for c, k in names.items())
     hits = f"concat({tagged})" if len(names) > 1 else tagged
     if first_per_value:
         # Sorted by kind, value and position; equal kinds and values are neighbours.
@@ -197,10 +197,9 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
 
     # The outer explode with a later null filter keeps the optimizer from pushing a size
     # test below the projection, where it would run every regex a second time.
-    context = ["_text", "_length", "_telling", "_pieces"] if has_hosts else []
-    found = (rows.select(*keys, *context, F.explode_outer(F.expr(hits)).alias("_hit"))
+    found = (rows.select(*keys, F.explode_outer(F.expr(hits)).alias("_hit"))
              .where(F.col("_hit").isNotNull())
-             .select(*keys, *context, "_hit.*"))
+             .select(*keys, "_hit.*"))
 
     kind, value = F.col("_kind"), F.col("value")
     valid = F.when(F.lit(False), F.lit(False))
@@ -221,8 +220,6 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
         label = F.when(kind == k, F.lit(name)).otherwise(label)
         level = F.when(kind == k, _host_confidence() if k in _HOST_KINDS
                        else F.lit(float(points))).otherwise(level)
-    if has_hosts:
-        found = found.withColumn("_window", _context_window())
     return found.withColumns({"identifier_type": label, "confidence": level}).select(
         *keys, *FINDING_COLUMNS)
 
