@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from veilmap.operators.detect import detect_all
 from veilmap.operators.findings import scan
-from veilmap.operators.replace import anonymize
+from veilmap.operators.replace import anonymize, reveal
 from veilmap.streaming import streams
 
 SCHEMA = "id bigint, ts timestamp, text string"
@@ -59,3 +59,35 @@ def test_map_growth_and_repeated_batch(spark, tmp_path):
     assert len(set(rows.values())) == len(rows)
     growth(table.where(F.col("id") == 6), 2)
     assert {r.original_value: r.anonymized_value for r in growth.current(spark).collect()} == rows
+
+
+def test_snapshots_bound_what_a_batch_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams.MapGrowth, "SNAPSHOT", 2)
+    growth = streams.MapGrowth(str(tmp_path / "map"), "id", "text")
+    for n in range(7):
+        batch = spark.createDataFrame([(n, f"host-{n} and host-{n // 2}")], "id bigint, text string")
+        growth(batch, n)
+        growth(batch, n)  # repeated after a failure
+    rows = growth.current(spark)
+    assert sorted(r.original_value for r in rows.collect()) == [f"host-{n}" for n in range(7)]
+    assert growth._numbers(spark, "snapshot") == [4, 6] and growth._numbers(spark, "batch") == [4, 5, 6]
+
+
+def test_stream_grows_and_anonymizes(spark, tmp_path):
+    stream, table = source(spark, str(tmp_path / "in"), BATCHES)
+    sink = streams.GrowingAnonymizer(str(tmp_path / "map"), "id", "text", str(tmp_path / "out"))
+    (stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 6 and not scan(out, "id", "text").join(
+        scan(table, "id", "text").select("value"), "value", "left_semi").count()
+    back = reveal(out, sink.current(spark)).select("id", "text").collect()
+    assert sorted(map(tuple, back)) == sorted((r.id, r.text) for r in table.collect())
+
+
+def test_stream_with_a_map_beyond_the_pattern(spark, tmp_path, make_map):
+    stream, table = source(spark, str(tmp_path / "in"), BATCHES)
+    m = make_map({"host-1": "SRV-A-01", "10.0.0.1": "10.0.9.9"})
+    streams.anonymize_stream(stream, m, "text", str(tmp_path / "out"), str(tmp_path / "state"), max_keys=1)
+    got = spark.read.parquet(str(tmp_path / "out")).select("id", "text").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, anonymize(table, m).select("id", "text").collect()))

@@ -12,12 +12,13 @@ from veilmap.operators.replace import (
 def roundtrip(df: DataFrame, m: DataFrame, key, text: str, order=None) -> DataFrame:
     """(key, source_sha256, revealed_sha256, identical) per document."""
     keys = as_keys(key)
-    both = df.select(*keys, F.col(text).alias("_source"), F.col(text).alias("_text"))
-    back = reveal(anonymize(both, m, "_text", keys), m, "_text", keys, order=order)
+    # Only a hash of the source goes through the replacements.
+    both = df.select(*keys, F.sha2(text, 256).alias("_source"), F.col(text).alias("_text"))
+    back = reveal(anonymize(both, m, "_text"), m, "_text", order=order)
+    revealed = F.sha2("_text", 256)
     return back.select(
-        *keys, F.sha2("_source", 256).alias("source_sha256"),
-        F.sha2("_text", 256).alias("revealed_sha256"),
-        F.col("_source").eqNullSafe(F.col("_text")).alias("identical"))
+        *keys, F.col("_source").alias("source_sha256"), revealed.alias("revealed_sha256"),
+        F.col("_source").eqNullSafe(revealed).alias("identical"))
 
 
 def roundtrip_report(df: DataFrame, m: DataFrame, key, text: str, order=None) -> DataFrame:

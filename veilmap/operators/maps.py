@@ -1,7 +1,6 @@
 """The translation map as a DataFrame: checks, merging, updates, inversion."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilmap.schemas import IDENTIFIER_TYPES, MAP, MAP_COLUMNS, SCOPES
@@ -31,9 +30,17 @@ def valid_entries(m: DataFrame, check_type: bool = False) -> DataFrame:
 
 
 def last_wins(m: DataFrame, by: str, order) -> DataFrame:
-    """One row per `by`, the last in `order`."""
-    newest = W.partitionBy(by).orderBy(*[c.desc() for c in order])
-    return m.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+    """One row per `by`, the last in `order`; aggregated before the shuffle, so a value that occurs
+    very often is no more work than others."""
+    columns = m.columns
+    newest = F.max_by(F.struct(*columns), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("_newest")
+    return m.groupBy(F.col(by).alias("_by")).agg(newest).select("_newest.*")
+
+
+def distinct_entries(m: DataFrame) -> DataFrame:
+    """One entry per original value.  Of several the project's is taken, then the greatest fake."""
+    return last_wins(m.select(MAP_COLUMNS), "original_value", [
+        F.col("scope"), F.col("anonymized_value"), F.col("identifier_type"), F.col("preserve_format")])
 
 
 def merge_maps(global_map: DataFrame, project_map: DataFrame) -> DataFrame:
@@ -42,12 +49,15 @@ def merge_maps(global_map: DataFrame, project_map: DataFrame) -> DataFrame:
 
 
 def upsert_entries(m: DataFrame, new: DataFrame, on_conflict: str = "replace") -> DataFrame:
-    """Add entries by original value; `replace` prefers the new ones, `keep` the old."""
+    """Add entries by original value; `replace` prefers the new ones, `keep` the old.  Within either
+    map an original that occurs several times counts once, as `distinct_entries` says."""
     if on_conflict not in ("replace", "keep"):
         raise ValueError(f"on_conflict must be 'replace' or 'keep', got {on_conflict!r}")
-    winner, other = (new, m) if on_conflict == "replace" else (m, new)
-    kept = other.join(winner.select("original_value"), "original_value", "left_anti")
-    return kept.select(MAP_COLUMNS).unionByName(winner.select(MAP_COLUMNS))
+    ranked = m.select(*MAP_COLUMNS, F.lit(on_conflict == "keep").alias("_first")).unionByName(
+        new.select(*MAP_COLUMNS, F.lit(on_conflict == "replace").alias("_first")))
+    return last_wins(ranked, "original_value", [
+        F.col("_first"), F.col("scope"), F.col("anonymized_value"), F.col("identifier_type"),
+        F.col("preserve_format")]).select(MAP_COLUMNS)
 
 
 def manual_entry(spark: SparkSession, identifier_type: str, original: str, fake: str) -> DataFrame:

@@ -308,6 +308,7 @@ ORACLES = {
     "overlap_resolution": f"{_ANON} select {_HIT} from (select line_id, unnest(t, recursive := true) from ("
                           "select line_id, unnest(t) as t from anon_taken))",
     "anonymize_lines": _ANON + " select line_id, line from anon",
+    "stream_grow_and_anonymize": "select line_id, line, true as hidden from (" + LOG_LINES_SQL + ")",
     "anonymize_join": _ANON + " select line_id, line from anon",
     "reveal_lines": _REVEALED + " select line_id, line from back",
     "reveal_full": "select line_id, line from (" + LOG_LINES_SQL + ")",

@@ -359,7 +359,7 @@ def stream_anonymize(spark, sf):
 
 def stream_new_identifiers(spark, sf):
     found = findings.scan(_line_stream(spark, sf), [_KEY, "ts"], _TEXT).select("ts", "identifier_type", "value")
-    return streams.run_available(streams.new_identifiers(found, "ts", "3650 days"), "new").select(
+    return streams.run_available(streams.new_identifiers(found, "ts", "7 days"), "new").select(
         "identifier_type", "value")
 
 
@@ -371,6 +371,18 @@ def stream_map_growth(spark, sf):
     return growth.current(spark).select(MAP_COLUMNS)
 
 
+def stream_grow_and_anonymize(spark, sf):
+    """A stream anonymised with the map that its own batches grow, and revealed with it: every line
+    is as before, and none was written in clear."""
+    out = new_path(spark, "grown-lines")
+    sink = streams.GrowingAnonymizer(new_path(spark, "growing"), _KEY, _TEXT, out)
+    stream = _line_stream(spark, sf).drop("ts")
+    (stream.writeStream.foreachBatch(sink).option("checkpointLocation", new_path(spark, "grown-state"))
+     .trigger(availableNow=True).start().awaitTermination())
+    hidden = spark.read.schema(stream.schema).parquet(f"{out}/batch=*").withColumn("hidden", F.col(_TEXT))
+    return replace.reveal(hidden, sink.current(spark), _TEXT).withColumn("hidden", F.col("hidden") != F.col(_TEXT))
+
+
 def stream_type_window(spark, sf):
     found = detect.detect_all(_line_stream(spark, sf), [_KEY, "ts"], _TEXT)
     counts = streams.type_counts_by_window(found, "ts")
@@ -460,5 +472,6 @@ QUERIES = {
     "stream_anonymize": stream_anonymize,
     "stream_new_identifiers": stream_new_identifiers,
     "stream_map_growth": stream_map_growth,
+    "stream_grow_and_anonymize": stream_grow_and_anonymize,
     "stream_type_window": stream_type_window,
 }

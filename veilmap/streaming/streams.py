@@ -1,15 +1,16 @@
 """The same operators on streams.
 
 `detect_all`, `scan`, `anonymize` and `reveal` are stateless in-row expressions and take a
-streaming DataFrame as it is (with a map small enough for the pattern strategy).  What
-needs state is here.
+streaming DataFrame as it is (with a map small enough for the pattern strategy; larger
+ones go through `anonymize_stream`).  What needs state is here.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmap.operators.findings import scan, unique_identifiers
+from veilmap.operators.findings import approve, scan, unique_identifiers
 from veilmap.operators.generate import generate_map
+from veilmap.operators.replace import anonymize
 from veilmap.schemas import MAP
 from veilmap.sources.storage import new_path
 
@@ -35,26 +36,79 @@ class MapGrowth:
 
     A batch writes only its own entries, into a folder named after it.  A batch that is
     repeated after a failure looks at the earlier folders alone and writes the same again.
+    Every `SNAPSHOT` batches the map so far is written as one table, and what an earlier
+    snapshot holds is deleted, so the cost of a batch does not grow with the number of batches.
     """
 
-    def __init__(self, folder: str, key, text: str, **rules):
-        self.folder, self.key, self.text, self.rules = folder.rstrip("/"), key, text, rules
+    SNAPSHOT = 20
 
-    def _part(self, batch: int) -> str:
-        return f"{self.folder}/batch={batch:012d}"
+    def __init__(self, folder: str, key, text: str, approved=None, **rules):
+        self.folder, self.key, self.text = folder.rstrip("/"), key, text
+        self.approved, self.rules = approved, rules
 
-    def current(self, spark, before: int | None = None) -> DataFrame:
-        """The map of all complete batches, or of those before a batch."""
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch=*/_SUCCESS")
+    def _part(self, batch: int, kind: str = "batch") -> str:
+        return f"{self.folder}/{kind}={batch:012d}"
+
+    def _numbers(self, spark, kind: str) -> list[int]:
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}=*/_SUCCESS")
         found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
-        numbers = [int(s.getPath().getParent().getName().split("=")[1]) for s in found or []]
-        parts = [self._part(n) for n in sorted(numbers) if before is None or n < before]
+        return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
+
+    def current(self, spark, before: int | None = None, rewriting: bool = False) -> DataFrame:
+        """The map of all complete batches, or of those before a batch; `rewriting` leaves out the
+        snapshot made at that very batch."""
+        held = [n for n in self._numbers(spark, "snapshot")
+                if before is None or n < before or (n == before and not rewriting)]
+        start = held[-1] if held else 0
+        parts = [self._part(start, "snapshot")] if held else []
+        parts += [self._part(n) for n in self._numbers(spark, "batch") if n >= start and (before is None or n < before)]
         return spark.read.schema(MAP).parquet(*parts) if parts else spark.createDataFrame([], MAP)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.grow(batch, batch_id)
+
+    def grow(self, batch: DataFrame, batch_id: int) -> None:
         found = unique_identifiers(scan(batch, self.key, self.text), self.key)
+        found = found if self.approved is None else approve(found, self.approved)
         known = self.current(batch.sparkSession, batch_id)
         generate_map(found, known, **self.rules).write.mode("overwrite").parquet(self._part(batch_id))
+        if (batch_id + 1) % self.SNAPSHOT == 0:
+            self._snapshot(batch.sparkSession, batch_id + 1)
+
+    def _snapshot(self, spark, upto: int) -> None:
+        earlier = [n for n in self._numbers(spark, "snapshot") if n < upto]
+        self.current(spark, upto, rewriting=True).write.mode("overwrite").parquet(self._part(upto, "snapshot"))
+        if not earlier:
+            return
+        # A batch is repeated only while it is the last one, so the snapshot before this one suffices.
+        old = [self._part(n) for n in self._numbers(spark, "batch") if n < earlier[-1]]
+        for path in old + [self._part(n, "snapshot") for n in earlier[:-1]]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class GrowingAnonymizer(MapGrowth):
+    """foreachBatch sink that first adds a micro-batch's identifiers to the map and then writes
+    the batch anonymised with it: nothing first seen after the start stays in clear."""
+
+    def __init__(self, folder: str, key, text: str, out: str, approved=None, **rules):
+        super().__init__(folder, key, text, approved, **rules)
+        self.out = out.rstrip("/")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.grow(batch, batch_id)
+        m = self.current(batch.sparkSession, batch_id + 1)
+        anonymize(batch, m, self.text).write.mode("overwrite").parquet(f"{self.out}/batch={batch_id:012d}")
+
+
+def anonymize_stream(stream: DataFrame, m: DataFrame, text: str, out: str, state: str, **options) -> None:
+    """Writes all available input below `out`, anonymised with a map of any size: each micro-batch is
+    replaced as a table, by the strategy that fits the map."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        anonymize(batch, m, text, **options).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id:012d}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
+     .trigger(availableNow=True).start().awaitTermination())
 
 
 def run_available(stream: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
