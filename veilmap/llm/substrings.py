@@ -25,7 +25,8 @@ from veilmap.sources.storage import materialize
 
 WINDOW = 35
 PREFIX = 6
-MOST = 256
+# A group of this many rows takes a few megabytes.
+MOST = 20_000
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
