@@ -158,10 +158,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: i
     often = runs.where("often").select("d", "h", "start", "w")
     kinds = materialize(often.groupBy("w").agg(F.count("*").alias("n")).withColumn(
         "run", F.monotonically_increasing_id()), "runs")
-    leaves = kinds.select("run", "n", F.posexplode("w").alias("i", "node"))
+    # A window that a run holds several times, as periodic texts do, is one leaf with a weight.
+    leaves = kinds.select("run", "n", "w", F.explode(F.array_distinct("w")).alias("node"))
+    weight = F.col("n") * F.size(F.filter("w", lambda x: x == F.col("node")))
+    leaves = leaves.select("run", "node", weight.alias("n"))
     nodes = leaves.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
-    deep = leaves.join(nodes, "node").groupBy("run").agg(F.sort_array(F.collect_list("i")).alias("at"))
-    deep = materialize(kinds.join(deep, "run").select("w", "at"), "deep-nodes")
+    deep = leaves.join(nodes, "node").groupBy("run").agg(F.collect_set("node").alias("nodes"))
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains("nodes", F.get("w", i)))
+    deep = materialize(kinds.join(deep, "run").select("w", at.alias("at")), "deep-nodes")
     first, last = F.element_at("at", 1), F.element_at("at", -1)
     spans = F.when(F.size("at") == last - first + 1, F.array(F.struct(first.alias("start"), (last + window).alias("end")))).otherwise(
         F.transform("at", lambda i: F.struct(i.alias("start"), (i + window).alias("end"))))
