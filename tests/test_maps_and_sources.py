@@ -119,3 +119,46 @@ def test_replace_redraws_only_when_asked(make_map, spark):
     assert entries(grow_map(old, ids))["host-1"][0] == "SRV-OLD-01"
     renewed = entries(grow_map(old, ids, on_conflict="replace"))
     assert renewed["host-1"][0] != "SRV-OLD-01" and len(renewed) == 2
+
+
+def test_hidden_names_and_uri_targets(spark, tmp_path, make_map):
+    tree = tmp_path / "tree"
+    names = ["_access.log", ".cache/x.LOG", "sub/a.log", "sub/_d/.b.txt", ".log", "sub/c.py"]
+    for name in names:
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text(f"10.0.0.1 in {name}")
+    (tree / "_bad.log").write_bytes(b"10.0.0.1 \xc3")
+    found = corpus.read_corpus(spark, str(tree))
+    assert {r.relative_path: r.text for r in found.collect()} == {
+        "_bad.log": None, **{n: f"10.0.0.1 in {n}" for n in names[:4]}}
+    out = tmp_path / "uri out"
+    m = make_map({"10.0.0.1": "10.0.9.9"})
+    status = anonymize_tree(spark, f"file://{tree}", f"file://{out}", m.limit(0), m)
+    assert {r.path.rsplit("/", 1)[1]: r.success for r in status.collect()} == {
+        "_access.log": True, "x.LOG": True, "a.log": True, ".b.txt": True, "_bad.log": False}
+    assert {n: (out / n).read_text() for n in names[:4]} == {n: f"10.0.9.9 in {n}" for n in names[:4]}
+    assert not (out / "_bad.log").exists() and not list(out.rglob("*.part-*"))
+
+
+def test_file_that_cannot_be_written_is_a_failure(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "d").write_text("a file where a folder is needed")
+    df = spark.createDataFrame([("a", "d/x.log", "t"), ("b", "y.log", "t")], "path string, relative_path string, text string")
+    assert {r.path: r.success for r in corpus.export_tree(df, str(tmp_path / "out")).collect()} == {"a": False, "b": True}
+    with pytest.raises(ValueError):
+        corpus.export_tree(df, "nowhere://x/y")
+
+
+def test_output_of_another_store_is_not_inside(tmp_path):
+    corpus.check_output("s3://a/x", "hdfs://b/x/y")
+    with pytest.raises(ValueError):
+        corpus.check_output("s3://a/x", "s3://a/x/y")
+
+
+def test_duplicates_inside_one_map(spark):
+    rows = [("ipv4", "10.0.0.1", f, "project", True) for f in ("10.0.1.1", "10.0.2.2")]
+    m = spark.createDataFrame(rows, MAP)
+    new = spark.createDataFrame([("ipv4", "10.0.0.1", "10.0.0.9", "project", True)] * 2, MAP)
+    assert [r.anonymized_value for r in maps.upsert_entries(m, m.limit(0)).collect()] == ["10.0.2.2"]
+    assert [r.anonymized_value for r in maps.upsert_entries(m, new, "replace").collect()] == ["10.0.0.9"]
+    assert [r.anonymized_value for r in maps.upsert_entries(m, new, "keep").collect()] == ["10.0.2.2"]

@@ -206,8 +206,9 @@ _REVEALED = _ANON + ", " + _replace("back", "anon", "select f as o, v as r from
 _HIT = ("line_id, cast(s as integer) as start_pos, cast(e as integer) as end_pos, "
         "o as original_value, r as anonymized_value")
 
-_TREE = ("tree as (select 'd' || (line_id % 3) || '/part' || (line_id // 100) || '.log' as relative_path, "
-         "string_agg(line, chr(10) order by line_id) as text from {} group by all)")
+_TREE = ("tree as (select 'd' || (line_id % 3) || '/' || case (line_id // 100) % 5 when 1 then '_' when 2 then '.' else '' end "
+         "|| 'part' || (line_id // 100) || case when (line_id // 100) % 7 = 0 then '.LOG' else '.log' end as relative_path, "
+         "(line_id // 100) % 11 <> 3 as success, string_agg(line, chr(10) order by line_id) as text from {} group by all)")
 
 
 def _table_found(table: str, keys: str, text: str, kinds) -> str:
@@ -324,13 +325,13 @@ ORACLES = {
     "corpus_ext_filter": """select doc_id, path from (select doc_id, '/data/' || source || '/doc' || doc_id ||
         (['.log', '.TXT', '.md', '.py', '.Ps1', '', '.log.gz'])[doc_id % 7 + 1] as path from documents)
         where lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) in ('.log', '.txt', '.md', '.ps1')""".replace("\\\\", "\\"),
-    "corpus_status": "select doc_id, doc_id % 3 <> 0 as success from documents",
+    "corpus_status": _BASE + ", " + _TREE.format("lines") + " select relative_path, success from tree",
     "corpus_relative_path": """select doc_id, '/data/in/' || source || '/doc' || doc_id || '.log' as path,
         source || '/doc' || doc_id || '.log' as relative_path from documents where doc_id % 2 = 0""",
-    "anonymize_corpus": _ANON + ", " + _TREE.format("anon") + " select relative_path, md5(text) as md5 from tree",
-    "reveal_corpus": _BASE + ", " + _TREE.format("lines") + " select relative_path, md5(text) as md5 from tree",
-    "run_report": """select count(*) as processed, cast(count_if(doc_id % 3 <> 0) as bigint) as success,
-        cast(count_if(doc_id % 3 = 0) as bigint) as failed from documents""",
+    "anonymize_corpus": _ANON + ", " + _TREE.format("anon") + " select relative_path, md5(text) as md5 from tree where success",
+    "reveal_corpus": _BASE + ", " + _TREE.format("lines") + " select relative_path, md5(text) as md5 from tree where success",
+    "run_report": _BASE + ", " + _TREE.format("lines") + """ select count(*) as processed,
+        cast(count_if(success) as bigint) as success, cast(count_if(not success) as bigint) as failed from tree""",
     "stream_anonymize": _ANON + " select line_id, line from anon",
     "stream_new_identifiers": _SCAN + " select t as identifier_type, value from ids",
     "stream_map_growth": _GENERATE + f" select {_ENTRY}, 'project' as scope, true as preserve_format from full_map",

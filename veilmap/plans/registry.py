@@ -293,10 +293,9 @@ def corpus_ext_filter(spark, sf):
 
 
 def corpus_status(spark, sf):
-    """Documents as bytes, some cut inside a character: readable or not."""
-    raw = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    cut = F.when(F.col("doc_id") % 3 == 0, F.concat("content", F.unhex(F.lit("C3")))).otherwise(F.col("content"))
-    return raw.select("doc_id", F.try_validate_utf8(cut.cast("string")).isNotNull().alias("success"))
+    """Files of a run over a tree: written, or not because they are no text."""
+    _, status = _tree_run(spark, sf)
+    return status.select(F.regexp_extract("path", "(d[0-9]/[^/]*)$", 1).alias("relative_path"), "success")
 
 
 def corpus_relative_path(spark, sf):
@@ -308,14 +307,20 @@ def corpus_relative_path(spark, sf):
 
 
 def _tree(spark, sf):
-    """Log lines grouped into one text file per hundred events, as a file tree."""
-    lines = log_lines(spark, sf).withColumn("path", F.concat(
-        F.lit("d"), F.col(_KEY) % 3, F.lit("/part"), F.floor(F.col(_KEY) / 100), F.lit(".log")))
-    texts = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(_KEY, _TEXT))).alias("l")).select(
-        F.col("path"), F.col("path").alias("relative_path"),
-        F.array_join(F.transform("l", lambda x: x[_TEXT]), "\n").alias("text"))
+    """Log lines grouped into one text file per hundred events, as a file tree; some names are hidden or in
+    upper case, some files end inside a character."""
+    part = F.floor(F.col(_KEY) / 100)
+    name = F.concat(F.when(part % 5 == 1, "_").when(part % 5 == 2, ".").otherwise(""), F.lit("part"), part,
+                    F.when(part % 7 == 0, ".LOG").otherwise(".log"))
+    lines = log_lines(spark, sf).withColumns({
+        "path": F.concat(F.lit("d"), F.col(_KEY) % 3, F.lit("/"), name), "broken": part % 11 == 3})
+    texts = lines.groupBy("path", "broken").agg(F.sort_array(F.collect_list(F.struct(_KEY, _TEXT))).alias("l")).select(
+        F.col("path"), F.col("path").alias("relative_path"), F.concat(
+            F.array_join(F.transform("l", lambda x: x[_TEXT]), "\n").cast("binary"),
+            F.when(F.col("broken"), F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))).alias("text"))
     root = new_path(spark, "tree")
-    files.export_tree(texts, root)
+    if not files.failed_paths(files.export_tree(texts, root)).isEmpty():
+        raise OSError(f"cannot write below {root}")
     return root
 
 
@@ -340,7 +345,7 @@ def reveal_corpus(spark, sf):
 
 
 def run_report(spark, sf):
-    return files.run_report(corpus_status(spark, sf))
+    return files.run_report(_tree_run(spark, sf)[1])
 
 
 # -- streams -----------------------------------------------------------------------
