@@ -115,3 +115,21 @@ def test_free_slots(spark, small):
     free = [s for s in range(80_000) if s not in held]
     assert all(got[0, k] == free[k - 1] for k in range(1, 68_001))
     assert (got[1, 1], got[1, 2], got[2, 1]) == (0, 2, 0)
+
+
+def test_full_vendor_prefixes_overflow_without_repeats(ids, monkeypatch):
+    """Prefixes of 16 addresses: the rest are placed beside all given ones, however often it takes."""
+    monkeypatch.setattr(G, "_PER_OUI", 16)
+    rows = [("mac", f"aa:bb:{i % 8:02x}:{i // 256 % 256:02x}:{i % 256:02x}:{i // 65536:02x}") for i in range(3000)]
+    f = fakes(G.generate_map(ids(rows)))
+    assert len(f) == len(set(r[1] for r in rows)) == len(set(f.values()))
+
+
+def test_sids_are_redrawn_until_free(ids, monkeypatch):
+    monkeypatch.setattr(G, "_SID_NUMBERS", 6)
+    rows = [("sid", f"S-1-5-21-{i}-1-2-3") for i in range(150)]
+    first = G.generate_map(ids(rows[:60]))
+    old = fakes(first)
+    f = fakes(G.generate_map(ids(rows + [("sid", v) for v in list(old.values())[:5]]), first))
+    assert len(f) == 95 and len(set(f.values()) | set(old.values())) == 155
+    assert not set(f.values()) & (set(old) | set(f))

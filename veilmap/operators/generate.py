@@ -8,7 +8,6 @@ already a fake, or that occur as an original, are never handed out.
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilmap.functions.hashing import hex_number, salted_md5, uuid5_url
@@ -27,6 +26,9 @@ _FEW_ROWS = 1_000_000
 _SALTS = 16
 # Odd and coprime to the layouts above, so multiplication permutes the slots.
 _STRIDE = 7_368_787
+_SID_NUMBERS = 3_294_967_296
+# Redraws before giving up.
+_TURNS = 40
 _NUMBER = r"([0-9]{1,15})"
 
 
@@ -223,12 +225,11 @@ def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True
     asked = requests.withColumns({
         "mark": mark, "oui": F.when(mark == ":", F.lower(oui)).otherwise(F.replace(oui, F.lit(":"), F.lit("-")))})
 
-    def drawn(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("oui", F.concat(
-            F.substring("h", 1, 2), "mark", F.substring("h", 3, 2), "mark", F.substring("h", 5, 2)))
+    def drawn(rows: DataFrame, turn: int = 0) -> DataFrame:
+        h = F.col("h") if not turn else F.sha2(F.concat("h", F.lit(f"/{turn}")), 256)
+        return rows.withColumn("_d", h).withColumn("oui", F.concat(
+            F.substring("_d", 1, 2), "mark", F.substring("_d", 3, 2), "mark", F.substring("_d", 5, 2))).drop("_d")
 
-    if not preserve_format:
-        asked = drawn(asked)
     # Addresses that differ only in case or delimiter count as the same device here.
     shape = r"^([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})$"
     parts = names.select(*[F.regexp_extract(F.lower("name"), shape, i).alias(f"o{i}") for i in range(1, 7)])
@@ -238,43 +239,61 @@ def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True
         (hex_number(F.concat("o4", "o5", "o6")) * back % _PER_OUI).alias("slot"))
     device = F.regexp_replace(F.lower("oui"), "[:-]", "")
 
-    def place(rows: DataFrame) -> DataFrame:
-        slots = _allocate(rows.withColumn("device", device), taken, ["device"], small)
+    def place(rows: DataFrame, used: DataFrame) -> DataFrame:
+        slots = _allocate(rows.withColumn("device", device), used, ["device"], small)
         tail = F.lpad(F.lower(F.hex(F.col("slot") * _STRIDE % _PER_OUI)), 6, "0")
         return slots.withColumn("anonymized_value", F.concat(
             "oui", "mark", F.substring(tail, 1, 2), "mark", F.substring(tail, 3, 2), "mark",
             F.substring(tail, 5, 2)))
 
-    placed = place(asked)
+    placed = place(asked, taken)
     if rows is not None and rows < _PER_OUI:
         return placed
-    placed = materialize(placed, "macs")
-    full = placed.where(F.col("slot") >= _PER_OUI)
-    if full.isEmpty():
-        return placed
-    # An exhausted vendor prefix: the rest draw theirs from the hash.
-    return placed.where(F.col("slot") < _PER_OUI).unionByName(place(drawn(
-        full.select(asked.columns))))
+    done = None
+    for turn in range(_TURNS):
+        placed = materialize(placed, "macs")
+        good = placed.where(F.col("slot") < _PER_OUI)
+        done = good if done is None else done.unionByName(good)
+        full = placed.where(F.col("slot") >= _PER_OUI)
+        if full.isEmpty():
+            return done
+        # An exhausted vendor prefix: the rest draw theirs from the hash, beside all given so far.
+        taken = taken.unionByName(good.select("device", "slot"))
+        placed = place(drawn(full.select(asked.columns), turn), taken)
+    raise ValueError("no free MAC addresses found")
 
 
 def fake_guid(requests: DataFrame) -> DataFrame:
     return requests.withColumn("anonymized_value", uuid5_url(F.col("original_value")))
 
 
-def fake_sid(requests: DataFrame) -> DataFrame:
-    """S-1-5-21 and as many sub-authorities as before, each 1000000000..4294967295."""
+def fake_sid(requests: DataFrame, names: DataFrame) -> DataFrame:
+    """S-1-5-21 and as many sub-authorities as before, each 1000000000..4294967295; none that is
+    given already or occurs in `names`."""
     count = F.size(F.split("original_value", "-", -1)) - 4
 
     def value(seed: Column) -> Column:
         return F.concat(F.lit("S-1-5-21-"), F.array_join(F.transform(
             F.sequence(F.lit(1), count), lambda i: (hex_number(F.substring(F.sha2(F.concat(
-                seed, F.lit("-"), i.cast("string")), 256), 1, 13)) % 3_294_967_296
+                seed, F.lit("-"), i.cast("string")), 256), 1, 13)) % _SID_NUMBERS
                 + 1_000_000_000).cast("string")), "-"))
-    drawn = requests.withColumn("_sid", value(F.col("h")))
-    again = F.row_number().over(W.partitionBy("_sid").orderBy("original_value"))
-    return drawn.withColumn("_again", again).withColumn("anonymized_value", F.when(
-        F.col("_again") == 1, F.col("_sid")).otherwise(
-        value(F.concat("h", F.lit("/"), F.col("_again").cast("string")))))
+
+    rest, done, used = requests, None, names.where(F.startswith("name", F.lit("S-1-5-21-"))).select("name").distinct()
+    for turn in range(_TURNS):
+        seed = F.col("h") if not turn else F.concat("h", F.lit(f"/{turn}"))
+        drawn = rest.withColumn("anonymized_value", value(seed))
+        first = drawn.groupBy("anonymized_value").agg(F.min("original_value").alias("_first"))
+        told = drawn.join(first, "anonymized_value").join(
+            used.select(F.col("name").alias("anonymized_value"), F.lit(True).alias("_used")), "anonymized_value", "left")
+        told = materialize(told.withColumn(
+            "_good", F.col("_used").isNull() & (F.col("_first") == F.col("original_value"))), "sids")
+        good = told.where("_good").select(*requests.columns, "anonymized_value")
+        done = good if done is None else done.unionByName(good)
+        rest = told.where("not _good").select(requests.columns)
+        if rest.isEmpty():
+            return done
+        used = used.unionByName(good.select(F.col("anonymized_value").alias("name")))
+    raise ValueError("no free SIDs found")
 
 
 # -- UNC paths ---------------------------------------------------------------------
@@ -378,7 +397,7 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
     fakes = [
         fake_address(of("ipv4", "cidr"), names, preserve_format, rows),
         host_fakes, fake_upn(of("upn"), names, upn_domain, preserve_format, small),
-        fake_guid(of("guid")), fake_sid(of("sid")),
+        fake_guid(of("guid")), fake_sid(of("sid"), names),
         fake_mac(of("mac"), names, preserve_format, rows), paths,
     ]
     entries = reduce(DataFrame.unionByName, [

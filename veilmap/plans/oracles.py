@@ -293,6 +293,14 @@ ORACLES = {
     "map_load_last_wins": _map_rows("merged", _ROW),
     "generate_map": _map_rows("full_map"),
     "fake_ipv4": _fake("f_ip", "t = 'ipv4'"),
+    "fake_ipv4_free": _GENERATE + """, free_asked as (select t, v, row_number() over (order by h, v) as n from hashed where t = 'ipv4'),
+        free_spots as (select a, row_number() over (order by s) as n from (select s, case
+            when q < 16516096 then '10.' || (q // 64516) || '.' || (q % 64516 // 254 + 1) || '.' || (q % 254 + 1)
+            when q < 17556480 then '172.' || ((q - 16516096) // 65024 + 16) || '.' || ((q - 16516096) % 65024 // 254) || '.' || ((q - 16516096) % 254 + 1)
+            else '192.168.' || ((q - 17556480) // 254) || '.' || ((q - 17556480) % 254 + 1) end as a
+          from (select s, s * 7368787 % 17621504 as q from range((select 2 * count(*) from free_asked)) r(s)))
+          where a not in (select v from free_asked))
+        select t as identifier_type, v as original_value, a as anonymized_value from free_asked join free_spots using (n)""",
     "fake_cidr": _fake("f_ip", "t = 'cidr'"),
     "fake_hostname": _fake("f_keep"),
     "fake_upn": _fake("f_upn"),
