@@ -211,16 +211,33 @@ _TREE = ("tree as (select 'd' || (line_id % 3) || '/' || case (line_id // 100) %
          "(line_id // 100) % 11 <> 3 as success, string_agg(line, chr(10) order by line_id) as text from {} group by all)")
 
 
-def _table_found(table: str, keys: str, text: str, kinds) -> str:
-    """Findings of single kinds over a text table."""
-    ctes = ", ".join(_spans(f"s_{k}", RX[k], table, keys, text) for k in kinds)
-    parts = []
-    for k in kinds:
-        sql = _KIND_SELECT[k].replace("line_id", keys)
-        if k == "fqdn":
-            sql = sql.replace("lines", f"(select {keys}, {text} as line from {table})")
-        parts.append(sql)
-    return f"with {ctes} select {keys}, t as identifier_type, {_FINDING.split(', ', 1)[1]} from ({' union all '.join(parts)})"
+# RE2 takes only ASCII letters for word characters.  Other letters and numbers become
+# underscores, one for one, so word borders and positions agree.
+_ASCII_WORDS = r"regexp_replace({}, '[^\P{{L}}A-Za-z]|[^\P{{N}}0-9]', '_', 'g')"
+
+
+def _running_spans(name: str, rx: str) -> str:
+    """`_spans` by a running sum, for texts with many matches."""
+    return f"""{name} as (
+  select line_id, value, cast(sum(length(gap) + before) over w as bigint) as start_pos,
+         cast(sum(length(gap) + before) over w + length(value) as bigint) as end_pos from (
+    select line_id, i, gap, value, coalesce(length(lag(value) over (partition by line_id order by i)), 0) as before from (
+      select line_id, unnest(range(1, len(m) + 1)) as i, unnest(m) as value, unnest(g[1:len(m)]) as gap from (
+        select line_id, regexp_extract_all(line, '{rx}') as m, regexp_split_to_array(line, '{rx}') as g from lines)))
+  window w as (partition by line_id order by i))"""
+
+
+def _over_table(table: str, key: str, text: str) -> str:
+    """`_BASE` with the texts of a table as lines."""
+    return (f"with lines as materialized (select {key} as line_id, {_ASCII_WORDS.format(text)} as line from {table}), "
+            + ", ".join(_running_spans(f"s_{k}", rx) for k, rx in RX.items()) + ", " + _GATED + ", "
+            + ", ".join(f"k_{k} as ({sql})" for k, sql in _KIND_SELECT.items()))
+
+
+def _table_found(table: str, key: str, text: str, names: str) -> str:
+    """Findings of all kinds over a text table; `names` gives the key columns back."""
+    return (f"{_over_table(table, key, text)} select {names}, "
+            f"{_FINDING.replace('identifier_type', 't as identifier_type')} from ({_union(_ALL)})")
 
 
 ORACLES = {
@@ -251,10 +268,10 @@ ORACLES = {
     "detect_unc": _found("unc"),
     "detect_network": _found("mac", "unc"),
     "detect_all_raw": _found(*_ALL),
-    "detect_documents": _table_found("documents", "doc_id", "text", ("ipv4", "cidr", "upn", "guid", "sid", "mac", "unc")),
-    "detect_pages": _table_found("pages", "page_id", "html", ("ipv4", "fqdn", "upn")),
-    "detect_conversations": _table_found("conversations", "conv_id, turn", "text",
-                                         ("ipv4", "cidr", "upn", "guid", "sid", "mac", "unc")),
+    "detect_documents": _table_found("documents", "doc_id", "text", "line_id as doc_id"),
+    "detect_pages": _table_found("pages", "page_id", "html", "line_id as page_id"),
+    "detect_conversations": _table_found("conversations", "conv_id * 1000000 + turn", "text",
+                                         "line_id // 1000000 as conv_id, line_id % 1000000 as turn"),
     "finding_violations": _BASE + f"""
         select array_to_string(list_filter([
           case when c2 not between 0 and 1 then 'confidence out of range' end,
@@ -270,8 +287,7 @@ ORACLES = {
     "scan_doc_distinct": _BASE + f" select line_id, {_FINDING.replace('identifier_type', 't as identifier_type')} from ("
                          f"select * from ({_union(_ALL)}) qualify row_number() over (partition by line_id, t, value order by start_pos) = 1)",
     "scan_corpus": _SCAN + f" select line_id, {_FINDING.replace('identifier_type', 't as identifier_type')} from scanned",
-    "scan_docs_with_hits": "select distinct doc_id from (" + _table_found(
-        "documents", "doc_id", "text", ("ipv4", "cidr", "upn", "guid", "sid")) + ")",
+    "scan_docs_with_hits": f"{_over_table('documents', 'doc_id', 'text')} select distinct line_id as doc_id from ({_union(_ALL)})",
     "scan_unique": _SCAN + " select t as identifier_type, value, cast(c as double) as confidence from ids",
     "scan_report": _SCAN + " select t as identifier_type, value, printf('%.2f', cast(c as double)) as confidence from ids",
     "scan_type_counts": _SCAN + " select t as identifier_type, count(*) as n from ids group by t",

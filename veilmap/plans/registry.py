@@ -82,17 +82,15 @@ def detect_all_raw(spark, sf):
 
 
 def detect_documents(spark, sf):
-    return detect.find(table(spark, sf, "documents"), "doc_id", "text",
-                       ["ipv4", "cidr", "upn", "guid", "sid", "mac", "unc"])
+    return detect.detect_all(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def detect_pages(spark, sf):
-    return detect.find(table(spark, sf, "pages"), "page_id", "html", ["ipv4", "fqdn", "upn"])
+    return detect.detect_all(table(spark, sf, "pages"), "page_id", "html")
 
 
 def detect_conversations(spark, sf):
-    return detect.detect_all(table(spark, sf, "conversations"), ["conv_id", "turn"], "text",
-                             ["ipv4", "cidr", "identity", "network"])
+    return detect.detect_all(table(spark, sf, "conversations"), ["conv_id", "turn"], "text")
 
 
 def finding_violations(spark, sf):
@@ -119,9 +117,7 @@ def scan_doc_distinct(spark, sf):
 
 
 def scan_docs_with_hits(spark, sf):
-    texts = table(spark, sf, "documents")
-    return findings.documents_with_findings(detect.detect_all(
-        texts, "doc_id", "text", ["ipv4", "cidr", "identity", "network"]), "doc_id")
+    return findings.documents_with_findings(detect_documents(spark, sf), "doc_id")
 
 
 def scan_unique(spark, sf):
