@@ -9,8 +9,9 @@ Unigram models weigh a piece by its negated score.  A model of merges admits exa
 which the merges of any two neighbouring pieces end in these two pieces; a text has one such
 path, of weight zero, which is what merging yields.
 
-No piece spans a change from another character to U+2581, so the machines pass through one
-state there; inputs are cut at these places and each distinct part is composed once.
+No piece spans a change from another character to U+2581, nor, in most models, from a Latin
+letter to ASCII punctuation; the machines pass through one state there.  Inputs are cut at these places and
+each distinct part is composed once.
 """
 
 import re
@@ -18,13 +19,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 _UNKNOWN_COST = 10.0
-_HELD = 400_000
+_HELD = 300_000
+_ROWS = 256
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+# ASCII characters that are neither letters nor digits, and Latin letters.
+_PUNCTUATION = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_IS_LATIN = re.compile(f"[{_LATIN}]")
+# Also cut before punctuation that follows a Latin letter.
+_FINE_PARTS = re.compile(f"{MARK}*+(?:[^{MARK}{_LATIN}]++|[{_LATIN}]++(?![{re.escape(_PUNCTUATION)}]))*+(?:[{_LATIN}]++)?")
 
 
 @dataclass
@@ -38,6 +48,7 @@ class Transducer:
     merges: bool
     prefix: bool
     longest: int
+    fine: bool
     _pairs: dict = field(default_factory=dict, repr=False)
     _parts: dict = field(default_factory=dict, repr=False)
 
@@ -75,10 +86,11 @@ class Transducer:
             raise ValueError("the model has no byte fallback")
         if any(MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("pieces with white space inside are not supported")
-        return cls(ids, {p: -s for p, s in score.items()}, score, bytes_, output, merges, prefix, max(map(len, ids)))
+        fine = not any(b in _PUNCTUATION and _IS_LATIN.match(a) for p in ids for a, b in zip(p, p[1:]))
+        return cls(ids, {p: -s for p, s in score.items()}, score, bytes_, output, merges, prefix, max(map(len, ids)), fine)
 
     def __reduce__(self):
-        return Transducer, (self.ids, self.cost, self.rank, self.bytes_, self.output, self.merges, self.prefix, self.longest)
+        return Transducer, (self.ids, self.cost, self.rank, self.bytes_, self.output, self.merges, self.prefix, self.longest, self.fine)
 
     # -- composition of one part -------------------------------------------------------
 
@@ -97,7 +109,10 @@ class Transducer:
         return parts
 
     def _apart(self, a: str, b: str) -> bool:
-        key = (a, b)
+        i, j = self.ids.get(a), self.ids.get(b)
+        if i is None or j is None:
+            return self._merged(a + b) == [a, b]
+        key = i * len(self.output) + j
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= _HELD:
@@ -174,7 +189,7 @@ class Transducer:
     def _run(self, text: str, prefix: bool) -> np.ndarray:
         normal = (MARK if prefix else "") + text.replace(" ", MARK)
         held = self._parts
-        parts = _PARTS.findall(normal)
+        parts = (_FINE_PARTS if self.fine else _PARTS).findall(normal)
         found = list(map(held.get, parts))
         if None in found:
             found = [self._part(p) if f is None else f for p, f in zip(parts, found)]
@@ -185,14 +200,6 @@ class Transducer:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def encode(text: Column, model: Transducer) -> Column:
-    """array<int>; a null text stays null, an empty one has no ids."""
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else model.encode(t) for t in texts], dtype=object)
-    return ids(text)
-
-
 def decode(ids: Column, model: Transducer) -> Column:
     """The text of ids; null for null."""
     @F.pandas_udf("string")
@@ -201,8 +208,30 @@ def decode(ids: Column, model: Transducer) -> Column:
     return texts(ids)
 
 
-def encode_table(docs: DataFrame, model: Transducer, text: str = "text") -> DataFrame:
-    """`docs` with `ids`; a column of that name is replaced.  One projection, no shuffle; rows stand
-    for themselves, so ties and repeated rows need no rule."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "ids"]).alias("_row"), encode(F.col(text), model).alias("ids"))
-    return row.select("_row.*", "ids")
+def encode_table(docs: DataFrame, model: Transducer, text: str = "text", verify: bool = False) -> DataFrame:
+    """`docs` with `ids` (array<int>), and with `verify` also `decoded`: whether the ids decode to the text.
+
+    A null text has null ids and counts as decoded; an empty one has no ids.  Columns of these
+    names are replaced.  One pass, no shuffle, a few rows at a time; rows stand for themselves, so ties and
+    repeated rows need no rule.
+    """
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    place = kept.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                texts = part.column(place).to_pylist()
+                ids = [None if t is None else model.encode(t) for t in texts]
+                sizes = np.cumsum([0] + [0 if x is None else len(x) for x in ids])
+                flat = pa.array(np.concatenate([x for x in ids if x is not None] or [np.zeros(0, np.int32)]))
+                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array([x is None for x in ids]))
+                columns = [*part.columns, lists]
+                if verify:
+                    columns.append(pa.array([x is None or model.decode(x.tolist()) == t for x, t in zip(ids, texts)]))
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "ids", *["decoded"] * verify])
+
+    rows = docs.select(*[docs[c] for c in kept])
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(run, schema.add("decoded", "boolean") if verify else schema)

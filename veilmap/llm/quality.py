@@ -227,8 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * per_class rows.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    got = rows.select("id", "y", _sampled("text").alias("f")).select("id", "y", "f.*").where(
-        F.col("x").isNotNull()).toPandas().sort_values(["id", "y"], kind="stable")
+    # Filtered here: Spark would move a filter, and the features with it, below the join.
+    got = rows.select("id", "y", _sampled("text").alias("f")).select("id", "y", "f.*").toPandas()
+    got = got[got["x"].notna()].sort_values(["id", "y"], kind="stable")
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     y = got["y"].to_numpy(int)
     width = len(_line_features(np.zeros(0, np.uint8), np.array([0, 0]))[0][0])

@@ -58,11 +58,10 @@ def default_model() -> pieces.Transducer:
 
 
 def op7_sentencepiece(spark, sf_dir):
-    model = default_model()
-    docs = pieces.encode_table(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return docs.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.coalesce(pieces.decode(F.col("ids"), model).eqNullSafe(F.col("text")), F.lit(False)).alias("round_trip"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode_table(docs, default_model(), verify=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"),
+                        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.col("decoded").alias("round_trip"))
 
 
 def op8_chat_format(spark, sf_dir):

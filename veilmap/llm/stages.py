@@ -34,9 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds `ids`, and `decoded`: whether they decode to the text."""
-    model = default_model()
-    found = pieces.encode_table(docs.select(COLUMNS), model)
-    return found.withColumn("decoded", pieces.decode(F.col("ids"), model).eqNullSafe(F.col("text")))
+    return pieces.encode_table(docs.select(COLUMNS), default_model(), verify=True)
 
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
