@@ -22,15 +22,15 @@ from events
 """
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of an input that has fewer splits than the cluster has cores.
-    Inputs of any size beyond that are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+_PARTITIONS = "spark.veilmap.inputPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table as its files are split.  Where these are too few for the cores, as with one small
+    file, the caller may set `spark.veilmap.inputPartitions`."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get(_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def log_lines_of(events: DataFrame, with_time: bool = False) -> DataFrame:
