@@ -35,4 +35,35 @@ counted as (
   from documents d join tables t on d.source is not distinct from t.source),
 copies as (select * exclude (n), unnest(range(1, n::bigint + 1))::int as copy from counted where n > 0)
 select *, md5('mix/' || doc_id || '/copy/' || copy) as mix_key from copies""",
+    "op3_substring_dedup": r"""
+with words as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i, w from (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents)),
+starts as (select doc_id, i, array_to_string(w[i:i + 34], ' ') as run from words where i + 34 <= len(w)),
+again as (select run from starts group by run having count(*) > 1),
+hits as (select doc_id, i from starts semi join again using (run)),
+told as (
+  select w.doc_id, w.i, w.word, coalesce(max(h.i) over (partition by w.doc_id order by w.i) >= w.i - 34, false) as gone
+  from words w left join hits h on h.doc_id = w.doc_id and h.i = w.i),
+sums as (
+  select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed,
+    coalesce(string_agg(word, ' ' order by i) filter (not gone), '') as kept
+  from told group by doc_id)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join sums s on s.doc_id = d.doc_id""",
+    "op10_embedding_dedup": """
+with recursive vecs as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from vecs a join vecs b on a.label = b.label and a.vec_id <> b.vec_id
+    and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+counted as (select a, count(*) as n from links group by a),
+least as (select a, min(b) as b from reach group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, least(e.vec_id, l.b) as component_id,
+  e.vec_id = least(e.vec_id, l.b) as kept
+from embeddings e left join counted c on c.a = e.vec_id left join least l on l.a = e.vec_id""",
 }
