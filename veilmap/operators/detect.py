@@ -153,6 +153,9 @@ def find(df: DataFrame, key, text: str, kinds, extra=(), nested_netbios: bool =
     extra             further detectors as (type, java_regex, confidence)
     """
     keys, kinds, extra = as_keys(key), list(kinds), list(extra)
+    taken = [k for k in keys if k in FINDING_COLUMNS or k.startswith("_")]
+    if taken:
+        raise ValueError(f"rename the key columns {taken}: findings have columns of these names")
     source = F.col("_text")
     outside_dotted = "netbios" in kinds and not nested_netbios
     blockers = ["guid", "sid", "mac", "unc"] if suppress_nested else []

@@ -30,7 +30,9 @@ def unique_identifiers(findings: DataFrame, key) -> DataFrame:
     if integral:
         # Key, position and confidence packed into one decimal: a fixed-width buffer, so
         # Spark aggregates by hash and need not sort the raw findings.
-        packed = (F.col(keys[0]).cast("decimal(38,0)") * F.lit(10**13).cast("decimal(38,0)")
+        # A null key comes first, as in the order of structs.
+        number = F.coalesce(F.col(keys[0]).cast("decimal(38,0)"), F.lit("-9223372036854775809").cast("decimal(38,0)"))
+        packed = (number * F.lit(10**13).cast("decimal(38,0)")
                   + (F.col("start_pos").cast("bigint") * 1000
                      + F.round(F.col("confidence") * 100).cast("bigint")).cast("decimal(38,0)")
                   ).cast("decimal(38,0)")
