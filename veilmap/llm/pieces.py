@@ -49,9 +49,13 @@ class Transducer:
     prefix: bool
     longest: int
     fine: bool
+    _prefixes: frozenset = field(init=False, repr=False)
     _pairs: dict = field(default_factory=dict, repr=False)
     _parts: dict = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        self._prefixes = frozenset(p[:n] for p in self.ids for n in range(1, len(p) + 1))
+
     @classmethod
     def load(cls, path: str) -> "Transducer":
         """Compiles a model file.  Models that squeeze white space, map characters or treat it as a
@@ -122,22 +126,40 @@ class Transducer:
 
     def _path_of_merges(self, part: str) -> list[str]:
         """The one path on which all neighbours are admitted; every position has one last piece."""
-        ids, n = self.ids, len(part)
-        last: list[str | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = part[start:end]
-                if (piece in ids or start == end - 1) and (
-                        not start or (last[start] is not None and self._apart(last[start], piece))):
-                    last[end] = piece
+        find, known_pairs, width, n = self.ids.get, self._pairs, len(self.output), len(part)
+        # Arcs by the place where they end, longest first; -1 stands for a character that is no piece.
+        arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                text = part[start:end]
+                if text not in self._prefixes:
                     break
+                piece = find(text)
+                if piece is not None:
+                    arcs[end].append((start, piece))
+        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        for end in range(1, n + 1):
+            own = arcs[end]
+            if not own or own[-1][0] != end - 1:
+                own.append((end - 1, -1))
+            for start, piece in own:
+                if start:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    admitted = known_pairs.get(before[1] * width + piece) if before[1] >= 0 <= piece else None
+                    if admitted is None:
+                        admitted = self._apart(part[before[0]:start], part[start:end])
+                    if not admitted:
+                        continue
+                last[end] = (start, piece)
+                break
         out, end = [], n
         while end:
-            piece = last[end]
-            if piece is None:  # no admitted path: not a closed set of merges
+            if last[end] is None:  # no admitted path: not a closed set of merges
                 return self._merged(part)
-            out.append(piece)
-            end -= len(piece)
+            out.append(part[last[end][0]:end])
+            end = last[end][0]
         return out[::-1]
 
     def _path_of_weights(self, part: str) -> list[str]:
