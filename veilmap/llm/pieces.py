@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 _UNKNOWN_COST = 10.0
-_HELD = 300_000
+_NEVER = float("-inf")
+_HELD = 800_000
 _ROWS = 256
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 # ASCII characters that are neither letters nor digits, and Latin letters.
@@ -100,16 +101,19 @@ class Transducer:
 
     def _merged(self, text: str) -> list[str]:
         """The merges of a short text: the best-scored neighbours first, leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.rank.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+        parts, rank = list(text), self.rank.get
+        scores = [rank(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == _NEVER:
                 break
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = rank(parts[at - 1] + parts[at], _NEVER)
+            if at < len(scores):
+                scores[at] = rank(parts[at] + parts[at + 1], _NEVER)
         return parts
 
     def _apart(self, a: str, b: str) -> bool:
