@@ -65,6 +65,26 @@ def test_unique_and_never_an_original(ids, options):
     assert len(f) == len(set(rows)) and len(set(f.values())) == len(f) and not set(f) & set(f.values())
 
 
+def test_mac_prefix_is_new_without_format(ids):
+    rows = [("mac", f"{v}{m}{i // 256:02X}{m}{i % 256:02x}{m}07") for i in range(300)
+            for v, m in (("aa:bb:cc", ":"), ("00-1B-44", "-"))]
+    f = fakes(G.generate_map(ids(rows), preserve_format=False))
+    assert len(f) == len(set(f.values())) == len(rows)
+    assert all(re.fullmatch("([0-9a-f]{2}[:-]){5}[0-9a-f]{2}", v) and k[2] == v[2] == v[14] for k, v in f.items())
+    assert not {v[:8].replace("-", ":") for v in f.values()} & {"aa:bb:cc", "00:1b:44"}
+    assert len({v[:8] for v in f.values()}) > 500
+
+
+@pytest.mark.parametrize("preserve_format", [True, False])
+def test_mac_full_prefix_is_redrawn(ids, monkeypatch, preserve_format):
+    """Prefixes of three addresses, all taken by the originals under their own: fakes find new prefixes."""
+    monkeypatch.setattr(G, "_PER_OUI", 3)
+    rows = [("mac", f"aa:bb:cc:00:{i // 256:02x}:{i % 256:02x}") for i in range(40)]
+    f = fakes(G.generate_map(ids(rows), preserve_format=preserve_format))
+    assert len(f) == len(set(f.values())) == len(rows)
+    assert not any(v.startswith("aa:bb:cc") for v in f.values())
+
+
 def test_same_input_same_map(ids):
     assert fakes(G.generate_map(ids())) == fakes(G.generate_map(ids(SAMPLE[::-1])))
 

@@ -216,7 +216,8 @@ def fake_address(requests: DataFrame, names: DataFrame, preserve_format: bool =
 def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True,
              rows: int | None = None) -> DataFrame:
     """First three octets kept (lower case with colons, as they are with hyphens), the last
-    three new; a mixed address counts as one with colons.  `rows` as in `fake_address`."""
+    three new; a mixed address counts as one with colons.  Without `preserve_format` all six are
+    new.  `rows` as in `fake_address`."""
     small = rows is not None and rows <= _FEW_ROWS
     original = F.col("original_value")
     mark = F.when(F.contains(original, F.lit(":")), F.lit(":")).otherwise(F.lit("-"))
@@ -230,6 +231,8 @@ def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True
         return rows.withColumn("_d", h).withColumn("oui", F.concat(
             F.substring("_d", 1, 2), "mark", F.substring("_d", 3, 2), "mark", F.substring("_d", 5, 2))).drop("_d")
 
+    if not preserve_format:
+        asked = drawn(asked)
     # Addresses that differ only in case or delimiter count as the same device here.
     shape = r"^([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})[:-]([0-9a-f]{2})$"
     parts = names.select(*[F.regexp_extract(F.lower("name"), shape, i).alias(f"o{i}") for i in range(1, 7)])
@@ -259,7 +262,7 @@ def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True
             return done
         # An exhausted vendor prefix: the rest draw theirs from the hash, beside all given so far.
         taken = taken.unionByName(good.select("device", "slot"))
-        placed = place(drawn(full.select(asked.columns), turn), taken)
+        placed = place(drawn(full.select(asked.columns), turn + 1), taken)
     raise ValueError("no free MAC addresses found")
 
 
