@@ -17,8 +17,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Multi-line chunks that occur before are taken out; every document stays, `n_chars` is counted anew."""
-    found = linechunks.dedup_lines(docs.select(COLUMNS))
+    """Multi-line chunks that occur before are taken out; documents that lose all lines by it (full copies) go,
+    the others stay.  `n_chars` is counted anew."""
+    found = linechunks.dedup_lines(docs.select(COLUMNS)).where("n_removed = 0 or n_removed < n_lines")
     return found.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(COLUMNS)
 
 
