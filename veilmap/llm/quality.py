@@ -218,15 +218,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
           per_class: int = PER_CLASS) -> LineModel:
     """Fits the model on at most `per_class` labelled texts of each class, those with the smallest hash of
     their id, of which texts beyond `MOST_LINES` lines are left out.  The odds of the classes are counted
-    over all labels.  Without labels of both classes the score only knows how often each occurs."""
+    over all labels; of rows with one id the text with the smallest hash counts.  Without labels of both classes the score only knows how often each occurs."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * per_class rows.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    # One text per id, combined before the shuffle: at most 2 * per_class rows, however often an id occurs.
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    rows = rows.select("id", "y", F.col("one.text").alias("text"))
     # Filtered here: Spark would move a filter, and the features with it, below the join.
     got = rows.select("id", "y", _sampled("text").alias("f")).select("id", "y", "f.*").toPandas()
     got = got[got["x"].notna()].sort_values(["id", "y"], kind="stable")
