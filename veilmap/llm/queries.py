@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import chat, hnsw, katz, linechunks, mixing, pieces, quality, simhash, subspace, substrings
+from veilmap.llm import alignment, chat, hnsw, katz, linechunks, mixing, pieces, quality, simhash, subspace, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,4 +83,16 @@ def op10_embedding_dedup(spark, sf_dir):
     return subspace.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_hnsw, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op7_sentencepiece, op8_chat_format, op9_katz_score, op10_embedding_dedup)}
+def op11_tokenizer_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    a = alignment.ByteLevelBPE.load(public_tokenizers.path("byte_bpe_50k.json"))
+    b = alignment.PieceBPE.load(public_tokenizers.path("piece_bpe_32k.model"))
+    found = alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", *alignment.RESULT[:-1], digest.alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_hnsw, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op7_sentencepiece,
+    op8_chat_format, op9_katz_score, op10_embedding_dedup, op11_tokenizer_alignment)}
