@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import alignment, chat, hnsw, katz, linechunks, mixing, pieces, quality, simhash, subspace, substrings
+from veilmap.llm import alignment, chat, hnsw, katz, linechunks, mixing, pieces, quality, secrets, simhash, subspace, substrings
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,13 @@ def op11_tokenizer_alignment(spark, sf_dir):
     return found.select("doc_id", *alignment.RESULT[:-1], digest.alias("groups_sha256"))
 
 
+def op12_secret_scan(spark, sf_dir):
+    found = secrets.scan_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[secrets.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secrets.KINDS[:3]],
+                        F.sha2(secrets.written(secrets.base_only(F.col("spans"))), 256).alias("base_sha256"),
+                        secrets.written(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_hnsw, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op7_sentencepiece,
-    op8_chat_format, op9_katz_score, op10_embedding_dedup, op11_tokenizer_alignment)}
+    op8_chat_format, op9_katz_score, op10_embedding_dedup, op11_tokenizer_alignment, op12_secret_scan)}
