@@ -66,4 +66,39 @@ least as (select a, min(b) as b from reach group by a)
 select e.vec_id, coalesce(n, 0)::bigint as n_links, least(e.vec_id, l.b) as component_id,
   e.vec_id = least(e.vec_id, l.b) as kept
 from embeddings e left join counted c on c.a = e.vec_id left join least l on l.a = e.vec_id""",
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+-- CRC-32 of the decimal id, bit by bit.
+hashed AS (
+  SELECT conv_id, turns, CAST(xor(list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, byte:
+      list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, bit:
+        xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 4 AS INTEGER) AS h FROM own),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (
+  SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+placed AS (
+  SELECT conv_id, size, depth, md5(CAST(turns[1:depth] AS JSON)) AS node, md5(CAST(turns[1:depth - 1] AS JSON)) AS above,
+         coalesce(len(regexp_extract_all(turns[depth].text, '[^\x20\x09-\x0D]+')), 0) AS words FROM prefixes),
+nodes AS (
+  SELECT node, depth, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * min(words) AS saved,
+         sha256(coalesce(string_agg(CASE WHEN size = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends
+  FROM placed GROUP BY node, depth),
+kids AS (SELECT depth - 1 AS depth, above, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+-- Every node with each node over it, by its smallest member, which all nodes over it have as a member.
+under AS (
+  SELECT a.node, a.depth, sum(n.saved) AS saved, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM nodes n JOIN placed a ON a.conv_id = n.conv_id AND a.depth <= n.depth
+  LEFT JOIN kids k ON k.above = n.node AND k.depth = n.depth GROUP BY a.node, a.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0) AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN under u ON u.node = n.node AND u.depth = n.depth
+LEFT JOIN kids k ON k.above = n.node AND k.depth = n.depth
+LEFT JOIN nodes p ON p.node = n.above AND p.depth = n.depth - 1""",
 }

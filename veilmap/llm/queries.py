@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.llm import alignment, chat, hnsw, katz, linechunks, mixing, pieces, quality, secrets, simhash, subspace, substrings
+from veilmap.llm import alignment, chat, hnsw, katz, linechunks, mixing, pieces, quality, secrets, simhash, subspace, substrings, trie
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,22 @@ def op12_secret_scan(spark, sf_dir):
                         secrets.written(F.col("spans")).alias("spans"))
 
 
+def with_shared_starts(listed: DataFrame, every: int = 20, most: int = 4) -> DataFrame:
+    """(conv, entries): the first h turns come from the conversation whose id is the next lower multiple of `every`;
+    h is the CRC-32 of the id modulo `most`."""
+    h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(most)).cast("int")
+    bases = listed.where(F.col("conv") % every == 0).select(
+        F.col("conv").alias("base"), F.slice("entries", 1, most - 1).alias("start"))
+    both = listed.withColumn("base", F.col("conv") - F.col("conv") % every).join(bases, "base", "left").withColumn("h", h)
+    none = F.array().cast("array<string>")
+    return both.select("conv", F.concat(F.slice(F.coalesce("start", none), F.lit(1), F.col("h")),
+                                        F.slice("entries", F.col("h") + 1, F.size("entries"))).alias("entries"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_tree(with_shared_starts(trie.conversations(_read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_hnsw, op3_substring_dedup, op4_simhash, op5_quality_crf, op6_line_dedup, op7_sentencepiece,
-    op8_chat_format, op9_katz_score, op10_embedding_dedup, op11_tokenizer_alignment, op12_secret_scan)}
+    op8_chat_format, op9_katz_score, op10_embedding_dedup, op11_tokenizer_alignment, op12_secret_scan, op13_prefix_trie)}
