@@ -4,9 +4,9 @@ Both tokenizers encode every text.  Token lengths, summed up within each documen
 offset where a token ends; a hash join on (document, end) finds the places where both end, which cut the
 tokens into groups, and every end of either is one link: the two tokens that cover the bytes before it.
 
-Documents travel in packs of a few megabytes.  A pack counts its linked id pairs with a grouping in
+Documents travel in packs of a few megabytes, as ids.  A pack counts its linked id pairs with a grouping in
 its task; Spark adds up the partial counts, and each pack gets the counts of its own distinct pairs
-back.  So a pair crosses the network once per pack, however often it occurs.
+back, aligns its ids again and sums up.  So a pair crosses the network once per pack, however often it occurs.
 """
 
 import json
@@ -192,56 +192,54 @@ def _kept(lists: pa.LargeListArray, good: np.ndarray) -> pa.LargeListArray:
     return pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(flat, pa.int32()))
 
 
-def _aligned(texts: pa.Array, a: _Side, b: _Side) -> pa.Table:
-    """(n_a, n_b, groups: text, links: list of pair codes) of each text."""
+def _encoded(texts: pa.Array, a: _Side, b: _Side) -> tuple[pa.LargeListArray, pa.LargeListArray]:
+    """Ids of both models; none for texts that one of them does not give back byte for byte."""
     words = texts.to_pylist()
     one, two = a.lists(words), b.lists(words)
     source = pc.binary_join_element_wise(_large(""), texts.cast(pa.large_string()), _large(" ")).cast(pa.large_binary())
     good = pc.and_(pc.equal(a.joined(one), source), pc.equal(b.joined(two), source)).fill_null(False).to_numpy(zero_copy_only=False)
     good &= np.array([bool(w) for w in words])
-    one, two = _kept(one, good), _kept(two, good)
-    ends = a.ends(one, "a").join(b.ends(two, "b"), ["doc", "end"], join_type="full outer", use_threads=False)
-    ends = ends.sort_by([("doc", "ascending"), ("end", "ascending")]).combine_chunks()
-    at_a, at_b = ends.column("a").combine_chunks(), ends.column("b").combine_chunks()
-    common = pc.and_(at_a.is_valid(), at_b.is_valid())
-    flat_a, flat_b = pc.list_flatten(one), pc.list_flatten(two)
-    # The tokens over the bytes before an end are the next ones to end.
-    code = pc.add(pc.multiply(pc.take(flat_a, pc.fill_null_backward(at_a)).cast(pa.int64()), len(b.sizes)),
-                  pc.take(flat_b, pc.fill_null_backward(at_b)).cast(pa.int64()))
-    doc = ends.column("doc").to_numpy()
-    rows = len(words)
-
-    def offsets(of):
-        return pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]), pa.int64())
-
-    group = pc.binary_join_element_wise(a.written(flat_a, pc.filter(at_a, common).to_numpy() + 1),
-                                        b.written(flat_b, pc.filter(at_b, common).to_numpy() + 1), _large("|"))
-    shared = doc[common.to_numpy(zero_copy_only=False)]
-    groups = pc.binary_join(pa.LargeListArray.from_arrays(offsets(shared), group), _large(";"))
-    return pa.table({
-        "n_a": np.diff(one.offsets.to_numpy()), "n_b": np.diff(two.offsets.to_numpy()),
-        "n_groups": np.bincount(shared, minlength=rows), "groups": groups,
-        "links": pa.LargeListArray.from_arrays(offsets(doc), code)})
-
-
-def _packed(pack: int, parts: list[pa.Table], width: int) -> pa.RecordBatch:
-    """One row: the documents of a pack as a compressed Arrow stream, its distinct pairs and their counts.
-    Links become places in the list of pairs."""
-    table = pa.concat_tables(parts)
-    codes = pa.chunked_array([c.values for c in table.column("links").chunks], pa.int64())
-    coded = codes.dictionary_encode().unify_dictionaries()
-    pairs = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], pa.int64())
-    lists = [pa.LargeListArray.from_arrays(old.offsets, new.indices.cast(pa.int32()))
-             for old, new in zip(table.column("links").chunks, coded.chunks)]
-    place = pa.chunked_array([c.values for c in lists], pa.int32())
-    counts = pa.table({"at": place}).group_by("at", use_threads=False).aggregate([([], "count_all")]).sort_by("at")
-    table = table.set_column(table.column_names.index("links"), "links", pa.chunked_array(lists, pa.large_list(pa.int32())))
+    return _kept(one, good), _kept(two, good)
+
+
+class _Aligned:
+    """Ends of the tokens of some texts, joined: one row per end of either model, in order."""
+
+    def __init__(self, one: pa.LargeListArray, two: pa.LargeListArray, a: _Side, b: _Side):
+        ends = a.ends(one, "a").join(b.ends(two, "b"), ["doc", "end"], join_type="full outer", use_threads=False)
+        ends = ends.sort_by([("doc", "ascending"), ("end", "ascending")]).combine_chunks()
+        self.doc, self.rows = ends.column("doc").to_numpy(), len(one)
+        self._at = [ends.column(c).combine_chunks() for c in "ab"]
+        self._flat, self._sides = [pc.list_flatten(x) for x in (one, two)], (a, b)
+        self.common = pc.and_(*[x.is_valid() for x in self._at])
+
+    def codes(self) -> pa.Array:
+        """The two ids of each link as one number: the tokens over the bytes before an end are the next ones to end."""
+        one, two = [pc.take(f, pc.fill_null_backward(x)).cast(pa.int64()) for f, x in zip(self._flat, self._at)]
+        return pc.add(pc.multiply(one, len(self._sides[1].sizes)), two)
+
+    def offsets(self, of: np.ndarray) -> pa.Array:
+        return pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=self.rows))]), pa.int64())
+
+    def groups(self) -> tuple[np.ndarray, pa.Array]:
+        """Number of groups of each text, and the groups written out."""
+        parts = [s.written(f, pc.filter(x, self.common).to_numpy() + 1) for s, f, x in zip(self._sides, self._flat, self._at)]
+        of = self.doc[self.common.to_numpy(zero_copy_only=False)]
+        group = pc.binary_join_element_wise(*parts, _large("|"))
+        return np.bincount(of, minlength=self.rows), pc.binary_join(
+            pa.LargeListArray.from_arrays(self.offsets(of), group), _large(";"))
+
+
+def _packed(pack: int, ids: list[pa.RecordBatch], counts: list[pa.Table], width: int) -> pa.RecordBatch:
+    """One row: the ids of a pack's documents as a compressed Arrow stream, its distinct pairs and their counts."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table, max_chunksize=500)
-    pairs = pairs.to_numpy()
+    with pa.ipc.new_stream(sink, ids[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        for batch in ids:
+            out.write_batch(batch)
+    total = pa.concat_tables(counts).group_by("code", use_threads=False).aggregate([("count_all", "sum")])
+    code = total.column("code").to_numpy()
     columns = [pa.array([pack], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-    for x in (pairs // width, pairs % width, counts.column("count_all").to_numpy()):
+    for x in (code // width, code % width, total.column("count_all_sum").to_numpy()):
         columns.append(pa.array([x], pa.list_(pa.int64())))
     return pa.RecordBatch.from_arrays(columns, ["pack", "data", "a", "b", "n"])
 
@@ -259,47 +257,52 @@ def _pack(a_model, b_model):
         a, b = _Side(a_model), _Side(b_model)
         # The number of the partition and a count name a pack alike if a task runs again.
         pack = TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        ids, counts, size = [], [], 0
         for batch in batches:
             for rows in _slices(batch):
-                if held and size + rows.nbytes > PACK:
-                    yield _packed(pack, held, len(b.sizes))
-                    held, size, pack = [], 0, pack + 1
-                done = _aligned(rows.column("text"), a, b)
-                held.append(done.add_column(0, "id", rows.column("id")))
+                if ids and size + rows.nbytes > PACK:
+                    yield _packed(pack, ids, counts, len(b.sizes))
+                    ids, counts, size, pack = [], [], 0, pack + 1
+                one, two = _encoded(rows.column("text"), a, b)
+                counts.append(pa.table({"code": _Aligned(one, two, a, b).codes()}).group_by(
+                    "code", use_threads=False).aggregate([([], "count_all")]))
+                ids.append(pa.RecordBatch.from_arrays([rows.column("id"), one, two], ["id", "a", "b"]))
                 size += rows.nbytes
-        if held:
-            yield _packed(pack, held, len(b.sizes))
+        if ids:
+            yield _packed(pack, ids, counts, len(b.sizes))
     return run
 
 
-def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of one pack with sums over the counts of their links."""
-    place = right.column("at").to_numpy()
-    count, best = np.zeros(len(place), np.int64), np.zeros(len(place), bool)
-    count[place], best[place] = right.column("count").to_numpy(), right.column("best").to_numpy()
-    count, best = pa.array(count), pa.array(best.astype(np.int64))
-    out = []
-    for batch in pa.ipc.open_stream(left.column("data")[0].as_buffer()):
-        links = batch.column("links")
-        flat, doc = pc.list_flatten(links), pc.list_parent_indices(links)
-        sums = pa.table({"doc": doc, "count": pc.take(count, flat), "best": pc.take(best, flat)}).group_by(
-            "doc", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("count", "sum")])
-        place = sums.column("doc").to_numpy()
-        cols = [batch.column(c) for c in ("id", "n_a", "n_b", "n_groups")]
-        for name in ("count_all", "best_sum", "count_sum"):
-            x = np.zeros(batch.num_rows, np.int64)
-            x[place] = sums.column(name).to_numpy()
-            cols.append(pa.array(x))
-        out.append(pa.RecordBatch.from_arrays([*cols, batch.column("groups").cast(pa.string())], ["id", *RESULT]))
-    return pa.Table.from_batches(out)
+def _answer(a_model, b_model):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The documents of one pack with sums over the counts of their links."""
+        a, b = _Side(a_model), _Side(b_model)
+        width = len(b.sizes)
+        known = pc.add(pc.multiply(right.column("a"), width), right.column("b")).combine_chunks()
+        count, best = right.column("count").combine_chunks(), right.column("best").combine_chunks().cast(pa.int64())
+        out = []
+        for ids in pa.ipc.open_stream(left.column("data")[0].as_buffer()):
+            one, two = ids.column("a"), ids.column("b")
+            aligned = _Aligned(one, two, a, b)
+            place = pc.index_in(aligned.codes(), value_set=known)
+            sums = pa.table({"doc": aligned.doc, "count": pc.take(count, place), "best": pc.take(best, place)}).group_by(
+                "doc", use_threads=False).aggregate([([], "count_all"), ("best", "sum"), ("count", "sum")])
+            n_groups, groups = aligned.groups()
+            cols = [ids.column("id"), np.diff(one.offsets.to_numpy()), np.diff(two.offsets.to_numpy()), n_groups]
+            for name in ("count_all", "best_sum", "count_sum"):
+                x = np.zeros(ids.num_rows, np.int64)
+                x[sums.column("doc").to_numpy()] = sums.column(name).to_numpy()
+                cols.append(x)
+            out.append(pa.RecordBatch.from_arrays([*map(pa.array, cols), groups.cast(pa.string())], ["id", *RESULT]))
+        return pa.Table.from_batches(out)
+    return run
 
 
 RESULT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
 
 def packs(docs: DataFrame, a, b, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(pack, data, a, b, n): aligned documents in packs, and each pack's distinct linked pairs with counts."""
+    """(pack, data, a, b, n): ids of the documents in packs, and each pack's distinct linked pairs with counts."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return materialize(rows.mapInArrow(
         _pack(a, b), "pack long, data binary, a array<long>, b array<long>, n array<long>"), "aligned")
@@ -327,11 +330,10 @@ def align(docs: DataFrame, a, b, id_col: str = "doc_id", text: str = "text") ->
     where neither model has a token across.
     """
     packed = packs(docs, a, b, id_col, text)
-    asked = packed.select("pack", F.posexplode(F.arrays_zip("a", "b")).alias("at", "pair")).select(
-        "pack", "at", "pair.a", "pair.b")
-    answers = asked.join(pair_counts(packed), ["a", "b"]).select("pack", "at", "count", "best")
+    asked = packed.select("pack", F.inline(F.arrays_zip("a", "b")))
+    answers = asked.join(pair_counts(packed), ["a", "b"]).select("pack", "a", "b", "count", "best")
     kind = docs.select(F.col(id_col)).schema[0].dataType
     schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, T.LongType()) for c in RESULT[:-1]],
                            T.StructField("groups", T.StringType())])
-    found = packed.select(F.col("pack").alias("own"), "data").groupBy("own").cogroup(answers.groupBy("pack")).applyInArrow(_answer, schema)
+    found = packed.select(F.col("pack").alias("own"), "data").groupBy("own").cogroup(answers.groupBy("pack")).applyInArrow(_answer(a, b), schema)
     return found.withColumnRenamed("id", id_col)
