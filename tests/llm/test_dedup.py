@@ -9,6 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from test_linechunks import cut as chunks_of
+
 from veilmap.llm import components, hnsw, linechunks, simhash, subspace, substrings
 
 DOCS = "doc_id long, text string, n_lines string, n_words string, d string"
@@ -33,22 +35,6 @@ def roots(nodes, links):
 
 # -- line chunks -----------------------------------------------------------------------
 
-def chunks_of(text, window=2, every=3):
-    lines = text.split("\n")
-    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
-    cut, out = [], []
-    for i, line in enumerate(lines):
-        seed = 42
-        for k in range(window - 1, -1, -1):
-            if i - k >= 0:
-                seed = xxhash.xxh64_intdigest(h[i - k].to_bytes(8, "little"), seed)
-        cut.append(line)
-        signed = seed - (1 << 64) if seed >> 63 else seed
-        if signed % every == 0 or i == len(lines) - 1:
-            out.append(cut)
-            cut = []
-    return out
-
 
 @pytest.fixture(scope="module")
 def line_rows():

@@ -102,3 +102,18 @@ def test_most_lines_of_repeated_runs_go(spark, rows):
     assert sum(got.values()) >= 0.75 * sum(repeated.values())
     periodic = [i for i, t in half if t.startswith("before ") and "period" in t]
     assert all(got[i] > 0 for i in periodic[2::3])
+
+
+def test_time_is_linear_in_the_lines_of_a_text(spark):
+    """Two copies of a text: four times the lines take about four times as long."""
+    import time
+
+    took = {}
+    for n in (20_000, 160_000, 640_000):
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
+        docs = spark.range(2).select(F.col("id").alias("doc_id"), text.alias("text"))
+        start = time.perf_counter()
+        rows = linechunks.dedup_lines(docs).select("doc_id", "n_lines", "n_removed").collect()
+        took[n] = time.perf_counter() - start
+        assert sorted(tuple(r) for r in rows) == [(0, n, 0), (1, n, n)]
+    assert took[640_000] < 20 and took[640_000] < 8 * took[160_000]

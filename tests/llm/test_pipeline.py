@@ -70,8 +70,8 @@ def test_pipeline(spark, documents):
     for d in docs:
         h = signed_hash(d["text"])
         kept = [x for pos, c in enumerate(chunks_of(d["text"])) if len(c) < 2 or min(places["\n".join(c)]) == (d["doc_id"], h, pos) for x in c]
-        d["new"] = "\n".join(kept)
-    docs = [d | {"text": d["new"], "n_chars": len(d["new"])} for d in docs]
+        d["new"], d["lost"] = "\n".join(kept), not kept
+    docs = [d | {"text": d["new"], "n_chars": len(d["new"])} for d in docs if not d["lost"]]
     prints = [simple_print(d["text"]) for d in docs]
     near = [(a, b) for a in range(len(docs)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3]
     group = roots(range(len(docs)), near)

@@ -110,12 +110,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
     are replaced.  An empty table stays empty.
     """
     gone = repeated_chunks(docs, id_col, text, window, every, min_lines, max_lines)
-    gone = gone.groupBy(KEY).agg(F.collect_set("pos").alias("gone")).withColumnRenamed(KEY, "k")
+    gone = gone.groupBy(KEY).agg(F.sort_array(F.collect_set("pos")).alias("gone")).withColumnRenamed(KEY, "k")
     rows = keyed(docs, id_col, text).join(gone, F.col(KEY) == F.col("k"), "left").drop("k", KEY)
     source = F.col(f"{ROW}.{text}")
     cut = chunk_lines(F.split(source, "\n", -1), window, every, min_lines, max_lines)
-    chunks = _let(cut, lambda all_: F.struct(
-        F.flatten(F.filter(all_, lambda c, i: ~F.array_contains("gone", i))).alias("kept")))
+
+    def between(all_):
+        """The runs of chunks between those that go."""
+        def run(g, j):
+            before = F.coalesce(F.get("gone", j - 1), F.lit(-1))
+            return F.slice(all_, before + 2, g - before - 1)
+        return F.struct(F.flatten(F.flatten(F.transform(F.concat("gone", F.array(F.size(all_))), run))).alias("kept"))
+
+    chunks = _let(cut, between)
     rows = rows.select(ROW, "gone", F.when(F.col("gone").isNotNull(), chunks).alias("out"))
     n = F.coalesce(F.size(F.split(source, "\n", -1)), F.lit(0))
     n = F.when(source.isNull(), 0).otherwise(n)
