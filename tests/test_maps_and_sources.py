@@ -1,10 +1,13 @@
+import time
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from veilmap.operators import maps
 from veilmap.plans.pipelines import anonymize_tree, grow_map, reveal_tree, scan_tree
 from veilmap.schemas import MAP
-from veilmap.sources import corpus
+from veilmap.sources import corpus, trees
 from veilmap.sources.mapfile import read_map, rejected_rows, write_map
 
 
@@ -162,3 +165,58 @@ def test_duplicates_inside_one_map(spark):
     assert [r.anonymized_value for r in maps.upsert_entries(m, m.limit(0)).collect()] == ["10.0.2.2"]
     assert [r.anonymized_value for r in maps.upsert_entries(m, new, "replace").collect()] == ["10.0.0.9"]
     assert [r.anonymized_value for r in maps.upsert_entries(m, new, "keep").collect()] == ["10.0.2.2"]
+
+
+def test_large_tree_is_listed_in_tasks(spark, tmp_path):
+    """20,000 files in 2,000 folders, some hidden, listed and read in seconds, over several rounds."""
+    want = set()
+    for d in range(2000):
+        folder = tmp_path / "in" / f"{'._'[d % 2] if d % 10 < 2 else 'd'}{d % 40}" / f"x{d}"
+        folder.mkdir(parents=True)
+        for f in range(10):
+            name = f"{'_' if f == 3 else ''}f {f}.{'log' if f < 9 else 'py'}"
+            (folder / name).write_text(f"{d} {f}")
+            if f < 9:
+                want.add((str((folder / name).relative_to(tmp_path / "in")), len(f"{d} {f}")))
+    (tmp_path / "in" / "loop").symlink_to(tmp_path / "in")
+    start = time.perf_counter()
+    files = trees.list_files(spark, str(tmp_path / "in"), [".log"])
+    assert {tuple(r) for r in files.collect()} == want
+    assert time.perf_counter() - start < 5
+    read = corpus.read_corpus(spark, str(tmp_path / "in"), [".LOG"])
+    assert read.select(F.sum(F.length("text"))).first()[0] == sum(n for _, n in want)
+    assert read.rdd.getNumPartitions() > 1
+
+
+def test_contents_are_yielded_by_bytes(tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "READ_BYTES", 100)
+    names = [f"{i}.log" for i in range(20)]
+    for n in names:
+        (tmp_path / n).write_bytes(b"x" * 40)
+    (tmp_path / "big.log").write_bytes(b"y" * 400)
+    batch = pa.RecordBatch.from_arrays([pa.array([*names, "big.log"])], ["relative_path"])
+    out = list(trees._read(str(tmp_path))([batch]))
+    assert [r for b in out for r in b.column(0).to_pylist()] == [*names, "big.log"]
+    assert max(b.num_rows for b in out) == 2 and len(out) == 11
+
+
+def test_a_run_that_dies_leaves_nothing(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("path"), F.format_string("d/%d.log", "id").alias("relative_path"), "id")
+    broken = rows.repartition(4).withColumn("text", F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.lit("t")))
+    out = tmp_path / "out"
+    with pytest.raises(Exception, match="lost"):
+        corpus.export_tree(broken, str(out))
+    assert list(tmp_path.iterdir()) == []
+    (out / "d").mkdir(parents=True)
+    (out / "d" / "1.log").write_text("old")
+    with pytest.raises(Exception, match="lost"):
+        corpus.export_tree(broken, str(out))
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and (out / "d" / "1.log").read_text() == "old"
+    whole = corpus.export_tree(rows.withColumn("text", F.lit("new")), str(out))
+    assert whole.where("success").count() == 40 and len(list((out / "d").iterdir())) == 40
+    assert (out / "d" / "1.log").read_text() == "new" and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_empty_tree(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    assert corpus.read_corpus(spark, str(tmp_path / "in")).count() == 0

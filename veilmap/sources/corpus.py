@@ -2,17 +2,13 @@
 
 import os
 import posixpath
-import uuid
 from urllib.parse import urlparse
 
-import pandas as pd
-import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmap.operators.detect import as_keys
-from veilmap.sources.storage import materialize
+from veilmap.sources.trees import existing_folder, list_files, open_folder, read_files, write_files
 
 # Extensions read by default.
 DEFAULT_EXTENSIONS = (".log", ".txt", ".md", ".ps1")
@@ -35,78 +31,17 @@ def has_extension(path: Column, extensions=DEFAULT_EXTENSIONS) -> Column:
     return F.lower(suffix).isin(*check_extensions(extensions))
 
 
-def _any_case_glob(extensions) -> str:
-    one = lambda c: f"[{c.lower()}{c.upper()}]" if c.isalpha() else c
-    return "*{" + ",".join("".join(map(one, e)) for e in extensions) + "}"
-
-
-def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder: a plain path, or a URI of any scheme that Arrow's file
-    systems serve (file, hdfs, viewfs, s3, gs, abfs); others are an error."""
-    scheme = urlparse(uri).scheme
-    if not scheme or len(scheme) == 1:
-        return pafs.LocalFileSystem(), os.path.abspath(uri)
-    if scheme == "file":
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    try:
-        return pafs.FileSystem.from_uri(uri)
-    except pa.ArrowInvalid as e:
-        raise ValueError(f"cannot write or read file trees at {uri!r}: {e}") from e
-
-
-def _hidden_files(fs, folder, root: str, extensions) -> list[str]:
-    """Relative paths of files whose name, or a folder of theirs, starts with `_` or `.`; Spark's own
-    listing leaves these out."""
-    found, walk = [], fs.listFiles(folder, True)
-    while walk.hasNext():
-        relative = walk.next().getPath().toUri().getPath()[len(root) + 1:]
-        name = relative.rsplit("/", 1)[-1]
-        suffix = name[name.rfind("."):].lower() if name.rfind(".") > 0 else ""
-        if suffix in extensions and any(part[0] in "_." for part in relative.split("/")):
-            found.append(relative)
-    return found
-
-
-def _read_files(uri: str):
-    def run(batches):
-        filesystem, base = open_folder(uri)
-        for batch in batches:
-            contents = []
-            for relative in batch["relative_path"]:
-                with filesystem.open_input_stream(posixpath.join(base, relative)) as f:
-                    contents.append(f.read())
-            yield batch.assign(content=contents)
-    return run
-
-
 def read_corpus(spark: SparkSession, path: str, extensions=DEFAULT_EXTENSIONS) -> DataFrame:
     """(path, relative_path, text, readable) for every matching file below `path`, whatever its name.
 
-    The extension test prunes the file listing, contents of other files are never read.
-    `text` is null and `readable` false where the bytes are not UTF-8.  Files that Spark takes for
-    hidden are listed by the driver and read by the tasks.
+    The tree is listed by tasks and once for all names; contents of other files are never read.
+    `text` is null and `readable` false where the bytes are not UTF-8.
     """
     extensions = check_extensions(extensions)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        raise FileNotFoundError(f"target directory does not exist: {path}")
-    if not fs.getFileStatus(fs_path).isDirectory():
-        raise NotADirectoryError(f"target path is not a directory: {path}")
-    qualified = fs.makeQualified(fs_path)
-    root = qualified.toUri().getPath().rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", _any_case_glob(extensions)).load(path))
-    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    files = files.where(has_extension(F.col("path"), extensions)).select(
-        "path", F.substring(plain, len(root) + 2, 2**31 - 1).alias("relative_path"), "content")
-    hidden = _hidden_files(fs, fs_path, root, {e.lower() for e in extensions})
-    if hidden:
-        top = qualified.toString().rstrip("/")
-        rows = spark.createDataFrame([(f"{top}/{h}", h) for h in hidden], "path string, relative_path string")
-        files = files.unionByName(rows.mapInPandas(
-            _read_files(top), "path string, relative_path string, content binary"))
-    return files.select("path", "relative_path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")).withColumn(
+    top = existing_folder(path)
+    files = read_files(list_files(spark, top, extensions), top)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return files.select(F.concat(F.lit(f"{top}/"), "relative_path").alias("path"), "relative_path", text.alias("text")).withColumn(
         "readable", F.col("text").isNotNull())
 
 
@@ -142,32 +77,10 @@ def export_tree(df: DataFrame, out: str, text: str = "text") -> DataFrame:
     """One file per row (text or bytes) below `out`, a folder all executors reach, given as path or
     URI; returns (path, success).  A null content or a file that cannot be written is a failure.
 
-    Each file is written under a temporary name and then renamed, so a task that runs
-    twice leaves whole files.
+    A run that dies leaves `out` as it was: see `trees.write_files`.
     """
     open_folder(out)  # an unknown scheme is an error before anything runs
-
-    def write(batches):
-        filesystem, base = open_folder(out)
-        for batch in batches:
-            done = []
-            for relative, content in zip(batch["relative_path"], batch["content"]):
-                ok = content is not None
-                if ok:
-                    target = posixpath.join(base, relative)
-                    part = f"{target}.part-{uuid.uuid4().hex}"
-                    try:
-                        filesystem.create_dir(posixpath.dirname(target), recursive=True)
-                        with filesystem.open_output_stream(part, compression=None) as f:
-                            f.write(content)
-                        filesystem.move(part, target)
-                    except OSError:
-                        ok = False
-                done.append(ok)
-            yield pd.DataFrame({"path": batch["path"], "success": done})
-
-    rows = df.select("path", "relative_path", F.col(text).cast("binary").alias("content"))
-    return materialize(rows.mapInPandas(write, "path string, success boolean"), "status")
+    return write_files(df.select("path", "relative_path", F.col(text).cast("binary").alias("content")), out)
 
 
 def run_report(status: DataFrame) -> DataFrame:
