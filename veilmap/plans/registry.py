@@ -8,7 +8,7 @@ from veilmap.plans.corpora import log_lines, log_lines_of, table
 from veilmap.plans.pipelines import anonymize_tree, grow_map, reveal_tree
 from veilmap.schemas import MAP_COLUMNS
 from veilmap.sources import corpus as files
-from veilmap.sources.mapfile import read_map, write_map
+from veilmap.sources.mapfile import read_map, write_map, write_rows
 from veilmap.sources.storage import materialize, new_path
 from veilmap.streaming import streams
 
@@ -181,16 +181,13 @@ def map_csv_roundtrip(spark, sf):
 
 
 def map_load_last_wins(spark, sf):
-    """Global rows with padded cells followed in the same file by the project rows."""
+    """Global rows with padded cells in part files before those of the project rows."""
     global_map, project = _two_scopes(spark, sf)
     rows = maps.to_text_rows(global_map).withColumns({
         "original_value": F.concat(F.lit(" "), "original_value", F.lit("  ")), "_part": F.lit(0)})
     rows = rows.unionByName(maps.to_text_rows(project).withColumn("_part", F.lit(1)))
     path = new_path(spark, "mapfile")
-    # One file, ordered by part: a range sort into one partition of a few thousand rows.
-    (rows.coalesce(1).sortWithinPartitions("_part").drop("_part").write
-     .options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
-              ignoreTrailingWhiteSpace=False).csv(path))
+    write_rows(rows, path, ["_part", "original_value"], ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return read_map(spark, path)
 
 

@@ -8,6 +8,7 @@ from veilmap.operators.maps import from_text_rows, last_wins, to_text_rows, vali
 from veilmap.schemas import MAP, MAP_COLUMNS
 
 # Doubled quotes, not backslashes, escape a quote: UNC paths are full of backslashes.
+FILE_ROWS = 200_000
 _CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
@@ -40,8 +41,16 @@ def rejected_rows(spark: SparkSession, path: str) -> DataFrame:
     return validate_map(rows).where(F.size("violations") > 0).select(*MAP_COLUMNS, "violations")
 
 
-def write_map(m: DataFrame, path: str, single_file: bool = False) -> None:
-    """Overwrite `path` with CSV part files; `single_file` puts a small map into one."""
+def write_rows(rows: DataFrame, path: str, order=None, **options) -> None:
+    """Overwrite `path` with CSV part files of at most `FILE_ROWS` rows, which are read by one task each.
+    With `order` (columns) the files' names are in the order of the rows, which is what `read_map` goes by."""
+    if order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.select(MAP_COLUMNS).write.mode("overwrite").options(
+        emptyValue="", maxRecordsPerFile=FILE_ROWS, **_CSV, **options).csv(path)
+
+
+def write_map(m: DataFrame, path: str, single_file: bool = False, order=None) -> None:
+    """Overwrite `path` with CSV part files, in `order` if given; `single_file` puts a small map into one."""
     rows = to_text_rows(m)
-    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").options(
-        emptyValue="", **_CSV).csv(path)
+    write_rows(rows.coalesce(1) if single_file else rows, path, order)

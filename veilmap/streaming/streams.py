@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilmap.operators.findings import approve, scan, unique_identifiers
 from veilmap.operators.generate import generate_map
-from veilmap.operators.replace import anonymize
+from veilmap.operators.replace import Replacer, anonymize
 from veilmap.schemas import MAP
 from veilmap.sources.storage import new_path
 
@@ -103,9 +103,11 @@ class GrowingAnonymizer(MapGrowth):
 
 def anonymize_stream(stream: DataFrame, m: DataFrame, text: str, out: str, state: str, **options) -> None:
     """Writes all available input below `out`, anonymised with a map of any size: each micro-batch is
-    replaced as a table, by the strategy that fits the map."""
+    replaced as a table, by the strategy that fits the map, which is read once."""
+    replace = Replacer(m, **options)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        anonymize(batch, m, text, **options).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id:012d}")
+        replace(batch, text).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch_id:012d}")
 
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", state)
      .trigger(availableNow=True).start().awaitTermination())
