@@ -15,6 +15,7 @@ each distinct part is composed once.
 """
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,12 +51,23 @@ class Transducer:
     prefix: bool
     longest: int
     fine: bool
-    _prefixes: frozenset = field(init=False, repr=False)
+    # The lexicon as arcs: state and character to state, and the piece (or -1) that ends in a state.
+    _arcs: dict = field(init=False, repr=False)
+    _piece_at: list = field(init=False, repr=False)
     _pairs: dict = field(default_factory=dict, repr=False)
     _parts: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self._prefixes = frozenset(p[:n] for p in self.ids for n in range(1, len(p) + 1))
+        self._arcs, self._piece_at = {}, [-1]
+        for piece, i in self.ids.items():
+            state = 0
+            for char in piece:
+                key = state << 21 | ord(char)
+                state = self._arcs.get(key, len(self._piece_at))
+                if state == len(self._piece_at):
+                    self._arcs[key] = state
+                    self._piece_at.append(-1)
+            self._piece_at[state] = i
 
     @classmethod
     def load(cls, path: str) -> "Transducer":
@@ -129,35 +141,37 @@ class Transducer:
         return known
 
     def _path_of_merges(self, part: str) -> list[str]:
-        """The one path on which all neighbours are admitted; every position has one last piece."""
-        find, known_pairs, width, n = self.ids.get, self._pairs, len(self.output), len(part)
-        # Arcs by the place where they end, longest first; -1 stands for a character that is no piece.
-        arcs: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        """The one path on which all neighbours are admitted; every position has one last piece, the longest
+        admitted one.  Arcs are taken from left to right, so the first to reach a place is the longest."""
+        arcs, piece_at, known_pairs, width, n = self._arcs.get, self._piece_at, self._pairs.get, len(self.output), len(part)
+        codes = list(map(ord, part))
+        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        own = -1
         for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                text = part[start:end]
-                if text not in self._prefixes:
+            if start:
+                before = last[start]
+                if before is None:
+                    continue
+                own = before[1]
+            state = 0
+            for end in range(start + 1, n + 1):
+                state = arcs(state << 21 | codes[end - 1])
+                if state is None:
                     break
-                piece = find(text)
-                if piece is not None:
-                    arcs[end].append((start, piece))
-        last: list[tuple[int, int] | None] = [None] * (n + 1)
-        for end in range(1, n + 1):
-            own = arcs[end]
-            if not own or own[-1][0] != end - 1:
-                own.append((end - 1, -1))
-            for start, piece in own:
+                piece = piece_at[state]
+                if piece < 0 or last[end] is not None:
+                    continue
                 if start:
-                    before = last[start]
-                    if before is None:
-                        continue
-                    admitted = known_pairs.get(before[1] * width + piece) if before[1] >= 0 <= piece else None
+                    admitted = known_pairs(own * width + piece) if own >= 0 else None
                     if admitted is None:
                         admitted = self._apart(part[before[0]:start], part[start:end])
                     if not admitted:
                         continue
                 last[end] = (start, piece)
-                break
+            # A character that is no piece is an arc of its own, marked by -1.
+            if last[start + 1] is None and part[start] not in self.ids:
+                if not start or self._apart(part[before[0]:start], part[start]):
+                    last[start + 1] = (start, -1)
         out, end = [], n
         while end:
             if last[end] is None:  # no admitted path: not a closed set of merges
@@ -186,7 +200,7 @@ class Transducer:
         for piece in path:
             known = self.ids.get(piece)
             ids += [known] if known is not None else [self.bytes_[b] for b in piece.encode()]
-        return np.array(ids, np.int32).tobytes()
+        return array("i", ids).tobytes()
 
     def _part(self, part: str) -> bytes:
         found = self._parts.get(part)
