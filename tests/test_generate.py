@@ -109,10 +109,22 @@ def test_number_collision_with_real_names(ids):
     assert not set(f) & set(f.values())
 
 
-def test_malformed_is_an_error(ids):
-    for row in [("ipv6", "::1"), ("ipv4", "10.0.1"), ("cidr", "10.0.0.1"), ("upn", "a@b@c"), ("mac", "AA:BB"), ("unc", "x")]:
-        with pytest.raises(Exception, match="invalid|unknown"):
-            G.generate_map(ids([row])).count()
+MALFORMED = [("ipv6", "::1"), ("ipv4", "10.0.1"), ("cidr", "10.0.0.1"), ("upn", "a@b@c"), ("mac", "AA:BB"), ("unc", "x"),
+             ("sid", "S-1-5-32-1"), ("guid", None), (None, "x")]
+
+
+def test_malformed_identifiers_are_set_apart(ids):
+    good = [("ipv4", "10.0.0.1"), ("hostname", "BOX-1"), ("hostname", "::1")]
+    df = ids(good + MALFORMED)
+    assert set(fakes(G.generate_map(df))) == {v for _, v in good}
+    rejected = G.malformed_identifiers(df).collect()
+    assert {(r.identifier_type, r.value) for r in rejected} == set(MALFORMED)
+    assert {r.reason for r in rejected} >= {"unknown identifier type", "missing value", "invalid ipv4", "invalid unc"}
+
+
+def test_malformed_is_an_error_where_strict(ids):
+    with pytest.raises(Exception, match="invalid ipv4"):
+        G.generate_map(ids([("ipv4", "10.0.0.1"), ("ipv4", "10.0.1")]), strict=True).count()
 
 
 def test_bucketed_ranks_equal_one_window(spark):

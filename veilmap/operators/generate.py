@@ -51,13 +51,19 @@ def malformed(identifier_type: Column, value: Column) -> Column:
         "unc": r"^\\\\[^\\]*\\",
     }
     reason = F.when(~F.coalesce(identifier_type.isin(*IDENTIFIER_TYPES), F.lit(False)),
-                    F.lit("unknown identifier type"))
+                    F.lit("unknown identifier type")).when(value.isNull(), F.lit("missing value"))
     for kind, shape in shapes.items():
         reason = reason.when((identifier_type == kind) & ~F.rlike(value, F.lit(shape)),
                              F.lit(f"invalid {kind}"))
     return reason
 
 
+def malformed_identifiers(identifiers: DataFrame) -> DataFrame:
+    """(identifier_type, value, reason): the identifiers for which no fake can be generated."""
+    reason = malformed(F.col("identifier_type"), F.col("value"))
+    return identifiers.select("identifier_type", "value", reason.alias("reason")).where("reason is not null")
+
+
 def _padded(number: Column, width) -> Column:
     digits = number.cast("string")
     return F.when(F.length(digits) < width, F.call_function("lpad", digits, width, F.lit("0"))
@@ -349,8 +355,10 @@ def fake_unc_linked(requests: DataFrame, servers: DataFrame, salt: str, tail="ke
 
 def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt: str = "",
                  preserve_format: bool = True, suffix: str = "mask", upn_domain: str = "mask",
-                 linked: bool = False, unc_tail: str = "keep", scope: str = "project") -> DataFrame:
-    """MAP rows for the identifiers (identifier_type, value) that `existing` lacks.
+                 linked: bool = False, unc_tail: str = "keep", scope: str = "project",
+                 strict: bool = False) -> DataFrame:
+    """MAP rows for the identifiers (identifier_type, value) that `existing` lacks.  Malformed ones are left out
+    and are the rows of `malformed_identifiers`; with `strict` one of them ends the job.
 
     suffix       `mask` or `keep` what follows the first label of a dotted host name
     upn_domain   `mask`, or `second_label` for fabrikam.{second label of the domain}
@@ -358,16 +366,18 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
     unc_tail     `keep` or `mask` the folders after the share
     """
     kind, value = F.col("identifier_type"), F.col("original_value")
-    fresh = (identifiers.select("identifier_type", F.col("value").alias("original_value"))
-             .groupBy("original_value").agg(F.max("identifier_type").alias("identifier_type")))
+    fresh = identifiers.select("identifier_type", F.col("value").alias("original_value"))
+    reason = malformed(kind, value)
+    if strict:
+        error = F.raise_error(F.concat(reason, F.lit(": "), F.coalesce(value, F.lit("null"))))
+        fresh = fresh.withColumn("identifier_type", F.coalesce(F.when(reason.isNotNull(), error).cast("string"), kind))
+    else:
+        fresh = fresh.where(reason.isNull())
+    fresh = (fresh.groupBy("original_value").agg(F.max("identifier_type").alias("identifier_type")))
     if existing is not None:
         fresh = fresh.join(existing.select("original_value"), "original_value", "left_anti")
-    reason = malformed(kind, value)
-    checked = F.when(reason.isNotNull(), F.raise_error(F.concat(reason, F.lit(": "), value)))
     # Used once per type below, so computed once and written.
-    fresh = materialize(fresh.select(
-        F.coalesce(checked.cast("string"), kind).alias("identifier_type"), "original_value",
-        salted_md5(value, salt).alias("h")), "identifiers")
+    fresh = materialize(fresh.select("identifier_type", "original_value", salted_md5(value, salt).alias("h")), "identifiers")
     names = fresh.select(F.col("original_value").alias("name"))
     rows = 2 * fresh.count()
     if existing is not None:

@@ -308,6 +308,17 @@ ORACLES = {
     "map_csv_roundtrip": _map_rows("merged", _ROW),
     "map_load_last_wins": _map_rows("merged", _ROW),
     "generate_map": _map_rows("full_map"),
+    "generate_quarantine": _SCAN + r""", damaged as (
+        select case when length(value) % 7 = 0 then 'ipv6' else t end as t,
+          case when length(value) % 7 = 1 then translate(value, '.@:-\', '') else value end as v from ids),
+        judged as (select t, v, case when t = 'ipv6' then 'unknown identifier type'
+          when t = 'ipv4' and not regexp_matches(v, '^[^.]*(\.[^.]*){3}$') then 'invalid ipv4'
+          when t = 'cidr' and not regexp_matches(v, '^[^./]*(\.[^./]*){3}/[^/]*$') then 'invalid cidr'
+          when t = 'upn' and not regexp_matches(v, '^[^@]*@[^@]*$') then 'invalid upn'
+          when t = 'sid' and not starts_with(v, 'S-1-5-21-') then 'invalid sid'
+          when t = 'mac' and not regexp_matches(v, '^[^:-]*([:-][^:-]*){5}$') then 'invalid mac'
+          when t = 'unc' and not regexp_matches(v, '^\\\\[^\\]*\\') then 'invalid unc' end as reason from damaged)
+        select t as identifier_type, v as value, reason from judged where reason is not null""",
     "fake_ipv4": _fake("f_ip", "t = 'ipv4'"),
     "fake_ipv4_free": _GENERATE + """, free_asked as (select t, v, row_number() over (order by h, v) as n from hashed where t = 'ipv4'),
         free_spots as (select a, row_number() over (order by s) as n from (select s, case
@@ -349,6 +360,7 @@ ORACLES = {
     "corpus_ext_filter": """select doc_id, path from (select doc_id, '/data/' || source || '/doc' || doc_id ||
         (['.log', '.TXT', '.md', '.py', '.Ps1', '', '.log.gz'])[doc_id % 7 + 1] as path from documents)
         where lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1)) in ('.log', '.txt', '.md', '.ps1')""".replace("\\\\", "\\"),
+    "corpus_table": "select doc_id, text from documents",
     "corpus_status": _BASE + ", " + _TREE.format("lines") + " select relative_path, success from tree",
     "corpus_relative_path": """select doc_id, '/data/in/' || source || '/doc' || doc_id || '.log' as path,
         source || '/doc' || doc_id || '.log' as relative_path from documents where doc_id % 2 = 0""",

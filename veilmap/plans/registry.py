@@ -201,6 +201,15 @@ def _fakes(*types, **options):
     return query
 
 
+def generate_quarantine(spark, sf):
+    """The identifiers, some with a wrong type or without their separators: what no fake is generated for."""
+    damage = F.pmod(F.length("value"), F.lit(7))
+    damaged = _identifiers(spark, sf).withColumns({
+        "identifier_type": F.when(damage == 0, F.lit("ipv6")).otherwise(F.col("identifier_type")),
+        "value": F.when(damage == 1, F.translate("value", ".@:-\\", "")).otherwise(F.col("value"))})
+    return generate.malformed_identifiers(damaged)
+
+
 def fake_uniqueness(spark, sf):
     """Per type: entries, distinct fakes, fakes that are originals."""
     m = _full_map(spark, sf)
@@ -285,6 +294,11 @@ def corpus_ext_filter(spark, sf):
     return named.where(files.has_extension(F.col("path")))
 
 
+def corpus_table(spark, sf):
+    """Whole texts of a table, other columns pruned from the scan."""
+    return files.corpus_from_table(table(spark, sf, "documents"), "doc_id", "text")
+
+
 def corpus_status(spark, sf):
     """Files of a run over a tree: written, or not because they are no text."""
     _, status = _tree_run(spark, sf)
@@ -448,6 +462,7 @@ QUERIES = {
     "fake_sid": _fakes("sid"),
     "fake_mac": _fakes("mac"),
     "fake_unc": _fakes("unc"),
+    "generate_quarantine": generate_quarantine,
     "fake_uniqueness": fake_uniqueness,
     "map_growth": map_growth,
     "mapped_occurrences": mapped_occurrences,
@@ -462,6 +477,7 @@ QUERIES = {
     "map_ambiguous_fakes": map_ambiguous_fakes,
     "map_fake_collisions": map_fake_collisions,
     "corpus_ext_filter": corpus_ext_filter,
+    "corpus_table": corpus_table,
     "corpus_status": corpus_status,
     "corpus_relative_path": corpus_relative_path,
     "anonymize_corpus": anonymize_corpus,
