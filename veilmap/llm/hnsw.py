@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from veilmap.sources.storage import materialize
 
-SHARD = 4096
-BLOCK = 1024
+SHARD = 16_384
+BLOCK = 16_384
 LINKS = 16
 CANDIDATES = 48
 BEAM = 128
@@ -165,43 +165,43 @@ def _beam(queries: np.ndarray, x: np.ndarray, lists: np.ndarray, start: np.ndarr
 
 
 def _search(k: int, width: int):
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                raw = r.vectors.reshape(-1, r.dim)
-                x = _longer(raw)
-                own = np.asarray(r.query_ids)
-                asked = np.concatenate(r.query_vecs).reshape(-1, r.dim)
-                queries = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1)
-                out = []
-                for lo in range(0, len(own), 256):
-                    q = queries[lo:lo + 256]
-                    at = np.full(len(q), r.nodes[r.node_at[-2]])
-                    links_at = len(r.links)
-                    for height in range(len(r.node_at) - 2, 0, -1):
-                        nodes = r.nodes[r.node_at[height]:r.node_at[height + 1]]
-                        lists = r.links[links_at - len(nodes) * LINKS:links_at].reshape(-1, LINKS)
-                        links_at -= len(nodes) * LINKS
-                        at = _descend(q, x, nodes, lists, at)
-                    base = np.empty((len(x), 2 * LINKS), np.int32)
-                    base[r.nodes[:len(x)]] = r.links[:links_at].reshape(-1, 2 * LINKS)
-                    found = _beam(q, x, base, at, width)
-                    for i, nodes in enumerate(found):
-                        nodes = nodes[nodes >= 0]
-                        score = (raw[nodes] * asked[lo + i]).sum(axis=1)
-                        nodes, score = nodes[order := np.argsort(-score, kind="stable")], score[order]
-                        # Members are in order of ids: k + 1 of each node are enough beside the query itself.
-                        many = np.minimum(r.member_at[nodes + 1] - r.member_at[nodes], k + 1)
-                        upto = int(np.searchsorted(np.cumsum(many), k + 1)) + 1
-                        last = score[min(upto, len(score)) - 1]
-                        upto = int(np.searchsorted(-score, -last, "right"))
-                        ids = np.concatenate([r.members[r.member_at[v]:r.member_at[v] + m] for v, m in zip(nodes[:upto], many[:upto])])
-                        value = np.repeat(score[:upto], many[:upto])
-                        other = ids != own[lo + i]
-                        ids, value = ids[other], value[other]
-                        best = np.lexsort((ids, -value))[:k]
-                        out.append(pd.DataFrame({"query_id": own[lo + i], "vec_id": ids[best], "score": value[best]}))
-                yield pd.concat(out)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The block of queries of one row in the graph of the same row."""
+        (r,) = pdf.itertuples(index=False)
+        raw = r.vectors.reshape(-1, r.dim)
+        x = _longer(raw)
+        own = np.asarray(r.query_ids)
+        asked = np.concatenate(r.query_vecs).reshape(-1, r.dim)
+        queries = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1)
+        out = []
+        for lo in range(0, len(own), 256):
+            q = queries[lo:lo + 256]
+            at = np.full(len(q), r.nodes[r.node_at[-2]])
+            links_at = len(r.links)
+            for height in range(len(r.node_at) - 2, 0, -1):
+                nodes = r.nodes[r.node_at[height]:r.node_at[height + 1]]
+                lists = r.links[links_at - len(nodes) * LINKS:links_at].reshape(-1, LINKS)
+                links_at -= len(nodes) * LINKS
+                at = _descend(q, x, nodes, lists, at)
+            base = np.empty((len(x), 2 * LINKS), np.int32)
+            base[r.nodes[:len(x)]] = r.links[:links_at].reshape(-1, 2 * LINKS)
+            found = _beam(q, x, base, at, width)
+            for i, nodes in enumerate(found):
+                nodes = nodes[nodes >= 0]
+                score = (raw[nodes] * asked[lo + i]).sum(axis=1)
+                nodes, score = nodes[order := np.argsort(-score, kind="stable")], score[order]
+                # Members are in order of ids: k + 1 of each node are enough beside the query itself.
+                many = np.minimum(r.member_at[nodes + 1] - r.member_at[nodes], k + 1)
+                upto = int(np.searchsorted(np.cumsum(many), k + 1)) + 1
+                last = score[min(upto, len(score)) - 1]
+                upto = int(np.searchsorted(-score, -last, "right"))
+                ids = np.concatenate([r.members[r.member_at[v]:r.member_at[v] + m] for v, m in zip(nodes[:upto], many[:upto])])
+                value = np.repeat(score[:upto], many[:upto])
+                other = ids != own[lo + i]
+                ids, value = ids[other], value[other]
+                best = np.lexsort((ids, -value))[:k]
+                out.append(pd.DataFrame({"query_id": own[lo + i], "vec_id": ids[best], "score": value[best]}))
+        return pd.concat(out)
     return run
 
 
@@ -240,7 +240,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     shards = graphs.select("dim", "shard")
     pairs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(
         materialize(grouped, "query-blocks").join(shards, "dim"), ["dim", "shard", "block"])
-    found = pairs.mapInPandas(_search(k, beam), "query_id long, vec_id long, score double")
+    # The keys of the join: no further shuffle, and one graph in memory at a time.
+    found = pairs.groupBy("dim", "shard", "block").applyInPandas(_search(k, beam), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
