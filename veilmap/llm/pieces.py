@@ -51,23 +51,19 @@ class Transducer:
     prefix: bool
     longest: int
     fine: bool
-    # The lexicon as arcs: state and character to state, and the piece (or -1) that ends in a state.
+    # The lexicon as arcs: a state is a dictionary from a character to the piece that ends there (or -1) and the next state.
     _arcs: dict = field(init=False, repr=False)
-    _piece_at: list = field(init=False, repr=False)
     _pairs: dict = field(default_factory=dict, repr=False)
     _parts: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self._arcs, self._piece_at = {}, [-1]
+        self._arcs = {}
         for piece, i in self.ids.items():
-            state = 0
+            state = self._arcs
             for char in piece:
-                key = state << 21 | ord(char)
-                state = self._arcs.get(key, len(self._piece_at))
-                if state == len(self._piece_at):
-                    self._arcs[key] = state
-                    self._piece_at.append(-1)
-            self._piece_at[state] = i
+                arc = state.setdefault(char, [-1, {}])
+                state = arc[1]
+            arc[0] = i
 
     @classmethod
     def load(cls, path: str) -> "Transducer":
@@ -143,8 +139,7 @@ class Transducer:
     def _path_of_merges(self, part: str) -> list[str]:
         """The one path on which all neighbours are admitted; every position has one last piece, the longest
         admitted one.  Arcs are taken from left to right, so the first to reach a place is the longest."""
-        arcs, piece_at, known_pairs, width, n = self._arcs.get, self._piece_at, self._pairs.get, len(self.output), len(part)
-        codes = list(map(ord, part))
+        known_pairs, width, n = self._pairs.get, len(self.output), len(part)
         last: list[tuple[int, int] | None] = [None] * (n + 1)
         own = -1
         for start in range(n):
@@ -153,13 +148,14 @@ class Transducer:
                 if before is None:
                     continue
                 own = before[1]
-            state = 0
-            for end in range(start + 1, n + 1):
-                state = arcs(state << 21 | codes[end - 1])
-                if state is None:
+            arcs, end = self._arcs, start
+            for char in part[start:]:
+                arc = arcs.get(char)
+                if arc is None:
                     break
-                piece = piece_at[state]
-                if piece < 0 or last[end] is not None:
+                piece, arcs = arc
+                end += 1
+                if piece < 0 or last[end]:
                     continue
                 if start:
                     admitted = known_pairs(own * width + piece) if own >= 0 else None
