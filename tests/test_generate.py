@@ -6,8 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilmap.operators import generate as G
+from veilmap.operators.audit import fake_collisions
 from veilmap.operators.maps import upsert_entries
 from veilmap.operators.numbering import free_slots, ordinal
+from veilmap.operators.unseen import generate_unseen, names_like_fakes
 
 SAMPLE = [
     ("ipv4", "10.0.1.50"), ("ipv4", "10.0.1.51"), ("ipv4", "192.168.7.1"), ("cidr", "192.168.1.0/24"),
@@ -165,3 +167,35 @@ def test_sids_are_redrawn_until_free(ids, monkeypatch):
     f = fakes(G.generate_map(ids(rows + [("sid", v) for v in list(old.values())[:5]]), first))
     assert len(f) == 95 and len(set(f.values()) | set(old.values())) == 155
     assert not set(f.values()) & (set(old) | set(f))
+
+
+def test_fakes_never_stand_in_the_corpus(ids, texts, spark):
+    # Every fake of the plain map and its neighbours occur already, some inside longer words.
+    plain = G.generate_map(ids())
+    taken = [r.anonymized_value for r in plain.collect()]
+    words = {v.split("-")[1] for v in taken if v.startswith("SRV-")}
+    corpus = texts(*[f"x{v}y" for v in taken], *[f"aSRV-{w}-{n:02d}9" for w in words for n in range(1, 30)], None, "",
+                   " ".join(f"10.0.{c}.{d}" for c in range(1, 4) for d in range(1, 255)))
+    for options in ({}, {"linked": True}, {"preserve_format": False}):
+        m = generate_unseen(corpus, "id", "text", ids(), **options)
+        rows = m.collect()
+        assert len(rows) == len({r.anonymized_value for r in rows}) == len(SAMPLE)
+        assert not fake_collisions(corpus, m, "id", "text").count()
+        assert not any(r.anonymized_value in (t.text or "") for r in rows for t in corpus.collect())
+    linked = fakes(generate_unseen(corpus, "id", "text", ids(), linked=True))
+    assert linked["\\\\DC.contoso.local\\Finance$\\q1"].startswith("\\\\" + linked["DC.contoso.local"] + "\\Share")
+
+
+def test_unseen_fakes_without_a_clash_are_the_plain_ones(ids, texts):
+    assert fakes(generate_unseen(texts("nothing here", None), "id", "text", ids())) == fakes(G.generate_map(ids()))
+    old = G.generate_map(ids(SAMPLE[:6]))
+    clash = texts(*[r.anonymized_value for r in old.collect()])
+    new = fakes(generate_unseen(clash, "id", "text", ids(), old))
+    assert set(new) == {v for _, v in SAMPLE[6:]}
+    assert not generate_unseen(texts("a"), "id", "text", ids([])).count()
+
+
+def test_names_like_fakes(texts):
+    got = names_like_fakes(texts("to 10.1.2.3/24 at SRV-APP-7x, SRV-APP-7", "none", None, ""), "text")
+    names = {r.name for r in got.collect()}
+    assert {"10.1.2.3/24", "10.1.2.3"} <= names and names - {"SRV-APP-7"} == {"10.1.2.3/24", "10.1.2.3"}

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -91,3 +92,38 @@ def test_stream_with_a_map_beyond_the_pattern(spark, tmp_path, make_map):
     streams.anonymize_stream(stream, m, "text", str(tmp_path / "out"), str(tmp_path / "state"), max_keys=1)
     got = spark.read.parquet(str(tmp_path / "out")).select("id", "text").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, anonymize(table, m).select("id", "text").collect()))
+
+
+def test_windows_close_and_late_rows_are_written_aside(spark, tmp_path):
+    hours = [[0, 0, 1], [3, 0, 1, None], [9, 2, 7], [8, 20]]
+    start = dt.datetime(2025, 3, 1)
+    sink = streams.ClosedWindows(str(tmp_path / "out"), "ts", ["kind"], delay="1 hour")
+    closed, late, opened = Counter(), Counter(), Counter()
+    high, n = None, 0
+    for number, batch in enumerate(hours):
+        rows = []
+        for h in batch:
+            rows.append((n, None if h is None else start + dt.timedelta(hours=h, minutes=7), "ab"[n % 2]))
+            n += 1
+            if h is None or high is not None and h + 1 <= high - 1 + 7 / 60:
+                late[rows[-1]] += 1
+            else:
+                opened[start + dt.timedelta(hours=h), rows[-1][2]] += 1
+        high = max([h for h in batch if h is not None] + ([] if high is None else [high]))
+        for k in [k for k in opened if k[0] + dt.timedelta(hours=1) <= start + dt.timedelta(hours=high - 1, minutes=7)]:
+            closed[k] += opened.pop(k)
+        df = spark.createDataFrame(rows, "id bigint, ts timestamp, kind string")
+        sink(df, number)
+        sink(df, number)  # repeated after a failure
+        assert Counter({(r.window_start, r.kind): r.n for r in sink.closed(spark).collect()}) == closed
+        assert Counter(map(tuple, sink.late(spark).collect())) == late
+    assert late and len(sink._numbers(spark, "open")) == 2  # what is older is released
+    empty = spark.createDataFrame([], "id bigint, ts timestamp, kind string")
+    sink(empty, len(hours))
+    assert Counter({(r.window_start, r.kind): r.n for r in sink.closed(spark).collect()}) == closed
+
+
+def test_windows_without_any_time(spark, tmp_path):
+    sink = streams.ClosedWindows(str(tmp_path / "out"), "ts")
+    sink(spark.createDataFrame([(1, None)], "id bigint, ts timestamp"), 0)
+    assert [r.id for r in sink.late(spark).collect()] == [1] and not sink.closed(spark).count()

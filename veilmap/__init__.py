@@ -12,6 +12,7 @@ from veilmap.operators.maps import (
     add_mapping, invert, mapping, merge_maps, show_map, upsert_entries, validate_map,
 )
 from veilmap.operators.replace import anonymize, find_mapped, reveal
+from veilmap.operators.unseen import generate_unseen, names_like_fakes
 from veilmap.plans.pipelines import anonymize_tree, grow_map, reveal_tree, scan_tree
 from veilmap.sources.corpus import (
     corpus_from_table, export_tree, failed_paths, read_corpus, run_report, write_corpus,

@@ -272,8 +272,21 @@ def fake_mac(requests: DataFrame, names: DataFrame, preserve_format: bool = True
     raise ValueError("no free MAC addresses found")
 
 
-def fake_guid(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("anonymized_value", uuid5_url(F.col("original_value")))
+def fake_guid(requests: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The version 5 UUID of the original; where that is one of `names`, of the original and a turn."""
+    if names is None:
+        return requests.withColumn("anonymized_value", uuid5_url(F.col("original_value")))
+    used = names.select(F.col("name").alias("anonymized_value"), F.lit(True).alias("_used")).distinct()
+    rest, done = requests, None
+    for turn in range(_TURNS):
+        seed = F.col("original_value") if not turn else F.concat("original_value", F.lit(f"/{turn}"))
+        told = materialize(rest.withColumn("anonymized_value", uuid5_url(seed)).join(used, "anonymized_value", "left"), "guids")
+        good = told.where("_used is null").select(*requests.columns, "anonymized_value")
+        done = good if done is None else done.unionByName(good)
+        rest = told.where("_used").select(requests.columns)
+        if rest.isEmpty():
+            return done
+    raise ValueError("no free GUIDs found")
 
 
 def fake_sid(requests: DataFrame, names: DataFrame) -> DataFrame:
@@ -356,7 +369,7 @@ def fake_unc_linked(requests: DataFrame, servers: DataFrame, salt: str, tail="ke
 def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt: str = "",
                  preserve_format: bool = True, suffix: str = "mask", upn_domain: str = "mask",
                  linked: bool = False, unc_tail: str = "keep", scope: str = "project",
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = False, avoid: DataFrame | None = None) -> DataFrame:
     """MAP rows for the identifiers (identifier_type, value) that `existing` lacks.  Malformed ones are left out
     and are the rows of `malformed_identifiers`; with `strict` one of them ends the job.
 
@@ -364,6 +377,7 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
     upn_domain   `mask`, or `second_label` for fabrikam.{second label of the domain}
     linked       a UNC server gets the fake of the host name it equals
     unc_tail     `keep` or `mask` the folders after the share
+    avoid        (name): further names that count as in use
     """
     kind, value = F.col("identifier_type"), F.col("original_value")
     fresh = identifiers.select("identifier_type", F.col("value").alias("original_value"))
@@ -384,6 +398,9 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
         rows += 2 * existing.count()
         names = names.unionByName(existing.select(F.col("original_value").alias("name"))).unionByName(
             existing.select(F.col("anonymized_value").alias("name")))
+    if avoid is not None:
+        rows += avoid.count()
+        names = names.unionByName(avoid.select("name"))
 
     small = rows <= _FEW_ROWS
     of = lambda *types: fresh.where(kind.isin(*types))
@@ -410,7 +427,7 @@ def generate_map(identifiers: DataFrame, existing: DataFrame | None = None, salt
     fakes = [
         fake_address(of("ipv4", "cidr"), names, preserve_format, rows),
         host_fakes, fake_upn(of("upn"), names, upn_domain, preserve_format, small),
-        fake_guid(of("guid")), fake_sid(of("sid"), names),
+        fake_guid(of("guid"), names if avoid is not None else None), fake_sid(of("sid"), names),
         fake_mac(of("mac"), names, preserve_format, rows), paths,
     ]
     entries = reduce(DataFrame.unionByName, [

@@ -351,6 +351,8 @@ ORACLES = {
     "roundtrip_audit": "select count(*) as documents, cast(0 as bigint) as mismatches from events",
     "residual_leaks": _ANON + ", " + _replace("left_over", "anon", "select v as o, f as r from approved")
                       + " select distinct line_id from left_over_hits",
+    "generate_unseen": _GENERATE + " select t as identifier_type, count(*) as entries, count(*) as fakes, "
+                       "cast(0 as bigint) as collisions from full_map group by 1",
     "map_ambiguous_fakes": _GENERATE + " select 'fake-' || substr(md5(v), 1, 3) as anonymized_value, count(*) as originals "
                            "from full_map group by 1 having count(*) > 1",
     "map_fake_collisions": _GENERATE + """, fakes as (select distinct substr(v, 1, 5) || substr(md5(v), 1, 1) as f from approved)
@@ -371,6 +373,17 @@ ORACLES = {
     "stream_anonymize": _ANON + " select line_id, line from anon",
     "stream_new_identifiers": _SCAN + " select t as identifier_type, value from ids",
     "stream_map_growth": _GENERATE + f" select {_ENTRY}, 'project' as scope, true as preserve_format from full_map",
+    "stream_closed_windows": _BASE + ", found as (" + _union(_ALL) + """),
+        days as (select date_diff('day', min(ts), max(ts)) + 1 as days, min(ts) as first from events),
+        parts as (select event_id, ts, cast(floor(date_diff('day', first, ts) * 4.0 / days) as integer)
+            + case when event_id % 10 = 0 then 1 else 0 end as part from events, days),
+        marks as (select p.part, max(e.ts) filter (e.part < p.part) - interval 1 hour as mark
+            from (select distinct part from parts) p, parts e group by 1),
+        placed as (select time_bucket(interval 1 hour, ts) as window_start, t as identifier_type,
+            coalesce(time_bucket(interval 1 hour, ts) + interval 1 hour <= mark, false) as late
+            from found join parts on event_id = line_id join marks using (part))
+        select window_start, identifier_type, late, count(*) as n from placed
+        where late or window_start + interval 1 hour <= (select max(ts) - interval 1 hour from events) group by all""",
     "stream_type_window": _BASE + ", found as (" + _union(_ALL) + ") select time_bucket(interval 1 hour, ts) as window_start, "
                           "t as identifier_type, count(*) as n from found join events on event_id = line_id group by all",
 }

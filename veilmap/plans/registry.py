@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmap.operators import audit, detect, findings, generate, maps, replace
+from veilmap.operators import audit, detect, findings, generate, maps, replace, unseen
 from veilmap.plans.corpora import log_lines, log_lines_of, table
 from veilmap.plans.pipelines import anonymize_tree, grow_map, reveal_tree
 from veilmap.schemas import MAP_COLUMNS
@@ -210,6 +210,19 @@ def generate_quarantine(spark, sf):
     return generate.malformed_identifiers(damaged)
 
 
+def generate_unseen(spark, sf):
+    """Log lines after which every fake of the plain map stands as well: per type the entries of a map
+    made for them, and how many of its fakes occur in them."""
+    lines, plain = log_lines(spark, sf), _full_map(spark, sf)
+    also = plain.select(F.lit(-1).cast("long").alias(_KEY), F.concat(
+        F.lit("was "), "anonymized_value", F.lit("x")).alias(_TEXT))
+    corpus = materialize(lines.unionByName(also), "used-lines")
+    m = materialize(unseen.generate_unseen(corpus, _KEY, _TEXT, _identifiers(spark, sf)), "unseen")
+    clash = audit.fake_collisions(corpus, m, _KEY, _TEXT).select("anonymized_value").distinct()
+    return m.join(clash.withColumn("hit", F.lit(1)), "anonymized_value", "left").groupBy("identifier_type").agg(
+        F.count("*").alias("entries"), F.count_distinct("anonymized_value").alias("fakes"), F.count("hit").alias("collisions"))
+
+
 def fake_uniqueness(spark, sf):
     """Per type: entries, distinct fakes, fakes that are originals."""
     m = _full_map(spark, sf)
@@ -401,6 +414,33 @@ def stream_type_window(spark, sf):
     return _complete(counts).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _arrivals(spark, sf):
+    """Log lines in five deliveries by day; of every tenth line the next delivery."""
+    events = table(spark, sf, "events")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    day, days = F.datediff("ts", F.lit(first)), F.datediff(F.lit(last), F.lit(first)) + 1
+    part = F.floor(day * 4 / days) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    lines = log_lines_of(events.withColumn("ts", F.col("ts").cast("timestamp")), with_time=True)
+    return lines.join(events.select(F.col("event_id").alias(_KEY), part.cast("int").alias("part")), _KEY)
+
+
+def stream_closed_windows(spark, sf):
+    """Deliveries read one by one, the query started anew for each: closed windows, and late findings per window."""
+    source, state = new_path(spark, "arrivals"), new_path(spark, "arrivals-state")
+    lines = materialize(_arrivals(spark, sf), "deliveries")
+    sink = streams.ClosedWindows(new_path(spark, "closed"), "ts", ["identifier_type"])
+    for part in range(5):
+        lines.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(lines.drop("part").schema).parquet(source)
+        found = detect.detect_all(stream, [_KEY, "ts"], _TEXT)
+        (found.writeStream.foreachBatch(sink).option("checkpointLocation", state)
+         .trigger(availableNow=True).start().awaitTermination())
+    late = sink.late(spark).groupBy(F.window("ts", sink.length)["start"].alias("window_start"), "identifier_type").agg(
+        F.count("*").alias("n"))
+    both = sink.closed(spark).withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def _complete(counts: DataFrame) -> DataFrame:
     """All windows, the open ones too, from the state at the end of the input."""
     spark = counts.sparkSession
@@ -453,6 +493,7 @@ QUERIES = {
     "map_csv_roundtrip": map_csv_roundtrip,
     "map_load_last_wins": map_load_last_wins,
     "generate_map": _fakes("ipv4", "cidr", "hostname", "upn", "guid", "sid", "mac", "unc"),
+    "generate_unseen": generate_unseen,
     "fake_ipv4": _fakes("ipv4"),
     "fake_ipv4_free": _fakes("ipv4", preserve_format=False),
     "fake_cidr": _fakes("cidr"),
@@ -488,4 +529,5 @@ QUERIES = {
     "stream_map_growth": stream_map_growth,
     "stream_grow_and_anonymize": stream_grow_and_anonymize,
     "stream_type_window": stream_type_window,
+    "stream_closed_windows": stream_closed_windows,
 }
