@@ -154,24 +154,25 @@ def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, most: i
         _deep_nodes(window), "d long, h long, start int, end int")
     found = found.select("d", "h", F.array(F.struct("start", "end")).alias("spans"))
     # Prefixes that occur very often: whole windows are the prefix.  Equal runs of windows are counted
-    # as one before they are shuffled, and get their spans back run by run.
-    often = runs.where("often").select("d", "h", "start", "w")
-    kinds = materialize(often.groupBy("w").agg(F.count("*").alias("n")).withColumn(
+    # as one before they are shuffled, and get their spans back run by run.  As in the groups above, two
+    # hashes decide: that of the prefix and that of the window.
+    often = runs.where("often").select("d", "h", "a", "start", "w")
+    kinds = materialize(often.groupBy("a", "w").agg(F.count("*").alias("n")).withColumn(
         "run", F.monotonically_increasing_id()), "runs")
     # A window that a run holds several times, as periodic texts do, is one leaf with a weight.
-    leaves = kinds.select("run", "n", "w", F.explode(F.array_distinct("w")).alias("node"))
+    leaves = kinds.select("run", "a", "n", "w", F.explode(F.array_distinct("w")).alias("node"))
     weight = F.col("n") * F.size(F.filter("w", lambda x: x == F.col("node")))
-    leaves = leaves.select("run", "node", weight.alias("n"))
-    nodes = leaves.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
-    deep = leaves.join(nodes, "node").groupBy("run").agg(F.collect_set("node").alias("nodes"))
+    leaves = leaves.select("run", "a", "node", weight.alias("n"))
+    nodes = leaves.groupBy("a", "node").agg(F.sum("n").alias("n")).where("n > 1").select("a", "node")
+    deep = leaves.join(nodes, ["a", "node"]).groupBy("run").agg(F.collect_set("node").alias("nodes"))
     at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains("nodes", F.get("w", i)))
-    deep = materialize(kinds.join(deep, "run").select("w", at.alias("at")), "deep-nodes")
+    deep = materialize(kinds.join(deep, "run").select("a", "w", at.alias("at")), "deep-nodes")
     first, last = F.element_at("at", 1), F.element_at("at", -1)
     spans = F.when(F.size("at") == last - first + 1, F.array(F.struct(first.alias("start"), (last + window).alias("end")))).otherwise(
         F.transform("at", lambda i: F.struct(i.alias("start"), (i + window).alias("end"))))
     placed = F.transform("spans", lambda x: F.struct((F.col("start") + x["start"]).alias("start"),
                                                      (F.col("start") + x["end"]).alias("end")))
-    hit = often.join(deep.select("w", spans.alias("spans")), "w").select("d", "h", placed.alias("spans"))
+    hit = often.join(deep.select("a", "w", spans.alias("spans")), ["a", "w"]).select("d", "h", placed.alias("spans"))
     return found.unionByName(hit)
 
 
