@@ -22,6 +22,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def python_texts(column) -> list:
+    """The strings of an Arrow column; bytes that are no UTF-8 come as the replacement character."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        raw = column.cast("large_binary" if str(column.type) == "large_string" else "binary")
+        return [b if b is None else b.decode("utf-8", "replace") for b in raw.to_pylist()]
+
+
 def split_at_matches(text: Column, pattern: str) -> Column:
     """[gap, match, gap, match, ..., gap]; their concatenation is the text."""
     return F.when(F.contains(text, F.lit(MARK)), _split_twice(text, pattern)).otherwise(
