@@ -40,3 +40,13 @@ def test_stream_takes_a_map_beyond_one_pattern(spark, guid_map, tmp_path):
     stream = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
     out = run_available(R.anonymize(stream, guid_map, max_keys=100), "large-map")
     assert {r.id: r.text for r in out.collect()} == {i: f"a F{i}" for i in range(30)}
+
+
+def test_few_row_groups_are_spread(spark, tmp_path):
+    """A file of one row group is no single task, in a table or a stream."""
+    events = spark.range(60_000).selectExpr(
+        "id as event_id", "timestamp_ntz '2024-01-01 00:00:00' as ts", "id % 90 as user_id", "'click' as event_type")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    lines = corpora.log_lines(spark, str(tmp_path))
+    sizes = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 3 and sum(r["count"] for r in sizes) == 60_000

@@ -6,6 +6,7 @@ possessive: the regex engine then loops instead of recursing, and a very long
 dotted or hyphenated run cannot exhaust the stack of a task.
 """
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -46,12 +47,15 @@ _LABEL_END = r"(?<=[A-Za-z0-9])(?<![A-Za-z0-9-]{64})\."
 # would have been the start; passing over it keeps long dotted number runs linear.
 _NOT_MID_NAME = r"(?:(?<!\.)|(?<!(?<![\p{L}\p{N}_-])[A-Za-z0-9]{1,15}\.))"
 _INNER_LABELS = rf"(?:(?!{_TOP})[A-Za-z0-9][A-Za-z0-9-]*+{_LABEL_END})*+"
-FQDN = (
-    _NOT_AFTER_WORD + r"(?=[A-Za-z0-9])"
-    r"(?=[A-Za-z0-9-]{1,63}+(?<=[A-Za-z0-9])\.)" + _NOT_MID_NAME + r"[A-Za-z0-9-]++\."
+_NAME_START = _NOT_AFTER_WORD + r"(?=[A-Za-z0-9])(?=[A-Za-z0-9-]{1,63}+(?<=[A-Za-z0-9])\.)"
+_NAME = (
+    r"[A-Za-z0-9-]++\."
     rf"{_INNER_LABELS}{_TOP}"
     rf"(?:(?:-[A-Za-z0-9-]*+)?+{_LABEL_END}{_INNER_LABELS}{_TOP})*+"
 )
+FQDN = _NAME_START + _NOT_MID_NAME + _NAME
+# The same matches; quadratic in long dotted number runs.
+SHORT_FQDN = _NAME_START + _NAME
 
 UPN = (
     rf"(?:(?=[A-Za-z0-9_]){_NOT_AFTER_WORD}|(?=[.%+-])(?<={_WORD}))"
@@ -127,3 +131,25 @@ def decimal_digit_table() -> tuple[str, str]:
     """Every decimal digit of Unicode outside ASCII, and its ASCII counterpart."""
     wide = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
     return "".join(wide), "".join(str(unicodedata.decimal(c)) for c in wide)
+
+
+@lru_cache
+def python_pattern(pattern: str) -> re.Pattern:
+    """A pattern of this module in Python's dialect, where \\w is [\\p{L}\\p{N}_] and \\d is \\p{Nd}."""
+    return re.compile(pattern.replace(_WORD, r"\w").replace(r"[\p{L}\p{N}]", r"[^\W_]").replace(r"\p{Nd}", r"\d").replace(r"\z", r"\Z"))
+
+
+_LABEL_BEFORE = re.compile(r"(?<![\w-])[A-Za-z0-9]{1,15}\.\Z")
+
+
+def find_names(text: str):
+    """Matches of FQDN in a long text.  Starts right after a short whole label are passed over, as _NOT_MID_NAME does, which
+    Python's dialect cannot say."""
+    start, name, at = python_pattern(_NAME_START), python_pattern(_NAME), 0
+    while found := start.search(text, at):
+        at = found.start()
+        middle = at and text[at - 1] == "." and _LABEL_BEFORE.search(text[max(at - 17, 0):at])
+        match = None if middle else name.match(text, at)
+        if match:
+            yield match
+        at = match.end() if match else at + 1

@@ -23,6 +23,8 @@ from events
 
 
 _PARTITIONS = "spark.veilmap.inputPartitions"
+# Log lines of one task.
+_LINES = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +43,11 @@ def log_lines_of(events: DataFrame, with_time: bool = False) -> DataFrame:
     return events.sparkSession.sql(sql, events=events)
 
 
+def spread_events(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Events in partitions of some thousands: a file has few row groups, and a row much work."""
+    n = -(-spark.read.parquet(f"{sf_dir}/events.parquet").count() // _LINES)
+    return events.repartition(n, "event_id") if n > 1 and not spark.conf.get(_PARTITIONS, None) else events
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_of(table(spark, sf_dir, "events"))
+    return log_lines_of(spread_events(spark, sf_dir, table(spark, sf_dir, "events")))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmap.operators import audit, detect, findings, generate, maps, replace, unseen
-from veilmap.plans.corpora import log_lines, log_lines_of, table
+from veilmap.plans.corpora import log_lines, log_lines_of, spread_events, table
 from veilmap.plans.pipelines import anonymize_tree, grow_map, reveal_tree
 from veilmap.schemas import MAP_COLUMNS
 from veilmap.sources import corpus as files
@@ -372,7 +372,7 @@ def run_report(spark, sf):
 
 def _line_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = spread_events(spark, sf, spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
     # Event time must be an instant; the table holds wall-clock times.
     return log_lines_of(events.withColumn("ts", F.col("ts").cast("timestamp")), with_time=True)
 
