@@ -1,6 +1,6 @@
 """Language-model scoring by Katz backoff over bigrams.
 
-Good-Turing discounted counts; bigrams below `MIN_COUNT` are left to the unigram; per context,
+Good-Turing discounted counts; bigrams below `min_count` are left to the unigram (1: none is); per context,
 the mass that seen bigrams leave goes to the unseen ones with exactly normalised weights.
 
 Texts are packed: a pack holds the documents of a few megabytes, compressed.  Each pack asks for
@@ -221,7 +221,7 @@ class Unigrams:
         return np.where(n > 0, self.scale * self.d[np.minimum(n, CUT + 1)] * n / max(self.total, 1), self.unseen)
 
 
-def _answer_pairs(uni: Unigrams, head: np.ndarray, head_n: np.ndarray):
+def _answer_pairs(uni: Unigrams, head: np.ndarray, head_n: np.ndarray, min_count: int):
     """Adds up bigrams of one partition: answers, class sums, per context what its stored bigrams
     hold, and the stored bigrams whose second word is not among the frequent ones."""
     def run(table: pa.Table) -> pa.Table:
@@ -245,11 +245,11 @@ def _answer_pairs(uni: Unigrams, head: np.ndarray, head_n: np.ndarray):
                for pack, back in zip(table.column("pack").to_pylist(), np.split(n[place], cuts))]
         out.append({"kind": "sums", "p": p, "ints": _class_counts(n)})
         v, w = v[order][new], w[order][new]
-        kept = n >= MIN_COUNT
+        kept = n >= min_count
         v, w, n = v[kept], w[kept], n[kept]
         if len(v):
             ctx, inv = np.unique(v, return_inverse=True)
-            held = [np.bincount(inv, n == r, len(ctx)) for r in range(MIN_COUNT, CUT + 1)]
+            held = [np.bincount(inv, n == r, len(ctx)) for r in range(min_count, CUT + 1)]
             held.append(np.bincount(inv, np.where(n > CUT, n, 0), len(ctx)))
             at = np.minimum(np.searchsorted(head, w), max(len(head) - 1, 0))
             common = head[at] == w if len(head) else np.zeros(len(w), bool)
@@ -260,10 +260,7 @@ def _answer_pairs(uni: Unigrams, head: np.ndarray, head_n: np.ndarray):
     return run
 
 
-_SUMMARY = CUT - MIN_COUNT + 2
-
-
-def _weights(d: np.ndarray, docs: int):
+def _weights(d: np.ndarray, docs: int, min_count: int):
     """Answers each pack with the logarithms of the backoff weight and of the scale of seen
     bigrams for each of its words as context."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -276,9 +273,9 @@ def _weights(d: np.ndarray, docs: int):
         ctx = right.column("v").to_numpy().view(np.uint64)
         by = np.argsort(ctx)
         ctx = ctx[by]
-        held = np.stack([right.column(f"s{k}").to_numpy()[by] for k in range(_SUMMARY)], 1).astype(float)
-        r = np.arange(MIN_COUNT, CUT + 1)
-        seen = held @ np.append(d[MIN_COUNT:CUT + 1] * r, 1.0)
+        held = np.stack([right.column(f"s{k}").to_numpy()[by] for k in range(CUT - min_count + 2)], 1).astype(float)
+        r = np.arange(min_count, CUT + 1)
+        seen = held @ np.append(d[min_count:CUT + 1] * r, 1.0)
         at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
         c = count[at].astype(float)
         # A context whose bigrams are all frequent leaves nothing: half a count is kept for others.
@@ -300,7 +297,7 @@ def _weights(d: np.ndarray, docs: int):
     return run
 
 
-def _score(parts: int, hot: np.ndarray, uni: Unigrams, d: np.ndarray, docs: int, names: list[str]):
+def _score(parts: int, hot: np.ndarray, uni: Unigrams, d: np.ndarray, docs: int, names: list[str], min_count: int):
     """Scores the documents of one pack from the answers to its lists."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         c = _count(left.column("data")[0].as_buffer())
@@ -320,7 +317,7 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d: np.ndarray, docs: int,
         lower = np.log10(uni.p(n_word))
         with np.errstate(divide="ignore", invalid="ignore"):
             seen = np.log10(d[np.minimum(n_pair, CUT + 1)] * n_pair / context[c.first]) + scale[c.first]
-        value = np.where(n_pair >= MIN_COUNT, seen, alpha[c.first] + lower[c.second])
+        value = np.where(n_pair >= min_count, seen, alpha[c.first] + lower[c.second])
         base = np.log10((n_word + 0.5) / (uni.total + 0.5 * (uni.kinds + 1)))
         at = np.concatenate([[0], c.ends[:-1]])
         del seen, n_pair, alpha, scale
@@ -336,7 +333,8 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d: np.ndarray, docs: int,
 RESULT = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def score(docs: DataFrame, train: str = "train", id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: str = "train", id_col: str = "doc_id", text: str = "text",
+          min_count: int = MIN_COUNT) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) for every row; the model is
     learnt from the rows whose boolean column `train` is true.
 
@@ -344,11 +342,12 @@ def score(docs: DataFrame, train: str = "train", id_col: str = "doc_id", text: s
     false.  Without training rows, or on an empty table, scores come from an empty model: every
     token is unseen.  Other columns are ignored.  `n_known` counts tokens seen in training;
     `base_score` is the additive unigram model.
+    With `min_count` 1 every bigram of the training rows has its discounted count.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.col(text).alias("text"))
     packs = materialize(rows.mapInArrow(_pack, "pack string, data binary"), "packs")
     parts = max(spread(docs), 2 * packs.count())
-    docs_n = rows.where("train").count()
+    docs_n, summary = rows.where("train").count(), CUT - min_count + 2
     words = materialize(packs.mapInArrow(_ask_words(parts), _LIST).groupBy("p").applyInArrow(_answer_words, _LIST), "words")
     sums = words.where("kind = 'sums'").select(F.posexplode("ints").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
     total, kinds, *classes = [r["n"] for r in sums.orderBy("i").collect()] or [0] * (CUT + 3)
@@ -361,7 +360,7 @@ def score(docs: DataFrame, train: str = "train", id_col: str = "doc_id", text: s
     head_w, head_n = head_w[order], head["n"].to_numpy(np.int64)[order]
     hot = np.append(head_w[head_n * parts > total], _START)
     pairs = materialize(packs.mapInArrow(_ask_pairs(parts, hot), _LIST).groupBy("p").applyInArrow(
-        _answer_pairs(uni, head_w, head_n), _LIST), "pairs")
+        _answer_pairs(uni, head_w, head_n, min_count), _LIST), "pairs")
     sums = pairs.where("kind = 'sums'").select(F.posexplode("ints").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
     d = discounts([r["n"] for r in sums.orderBy("i").collect()] or [0] * (CUT + 1))
     # Unigram mass of stored bigrams with rarer second words.
@@ -371,20 +370,20 @@ def score(docs: DataFrame, train: str = "train", id_col: str = "doc_id", text: s
         held = F.when(F.col("n") == r, F.lit(float(uni.d[r] * r))).otherwise(held)
     tail = tail.join(table, "w").select("v", (held * F.lit(uni.scale / max(total, 1))).alias("mass"))
     ctx = pairs.where("kind = 'ctx'").select(F.posexplode("longs").alias("i", "v"), "ints", "x").select(
-        "v", *[F.get("ints", F.col("i") * _SUMMARY + k).alias(f"s{k}") for k in range(_SUMMARY)], F.get("x", "i").alias("mass"))
-    whole = ctx.unionByName(tail.select("v", *[F.lit(0).cast("long").alias(f"s{k}") for k in range(_SUMMARY)], "mass"))
-    whole = whole.groupBy("v").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(_SUMMARY)], F.sum("mass").alias("mass"))
+        "v", *[F.get("ints", F.col("i") * summary + k).alias(f"s{k}") for k in range(summary)], F.get("x", "i").alias("mass"))
+    whole = ctx.unionByName(tail.select("v", *[F.lit(0).cast("long").alias(f"s{k}") for k in range(summary)], "mass"))
+    whole = whole.groupBy("v").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(summary)], F.sum("mass").alias("mass"))
 
     def placed(batches):
         for b in batches:
             yield b.append_column("p", pa.array(_part(b.column("v").to_numpy().view(np.uint64), parts)))
 
-    fields = "v long, " + ", ".join(f"s{k} long" for k in range(_SUMMARY)) + ", mass double, p long"
+    fields = "v long, " + ", ".join(f"s{k} long" for k in range(summary)) + ", mass double, p long"
     contexts = whole.mapInArrow(placed, fields)
     asked = words.where("kind in ('back', 'table')")
-    answers = asked.groupBy("p").cogroup(contexts.groupBy("p")).applyInArrow(_weights(d, docs_n), _LIST)
+    answers = asked.groupBy("p").cogroup(contexts.groupBy("p")).applyInArrow(_weights(d, docs_n, min_count), _LIST)
     answers = answers.select("kind", "pack", "p", "ints", "x", "y").unionByName(
         pairs.where("kind = 'back'").select("kind", "pack", "p", "ints", "x", "y"))
     out = f"{id_col} {dict(rows.dtypes)[id_col]}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(
-        _score(parts, hot, uni, d, docs_n, RESULT), out)
+        _score(parts, hot, uni, d, docs_n, RESULT, min_count), out)

@@ -75,7 +75,7 @@ def op8_chat_format(spark, sf_dir):
 def op9_katz_score(spark, sf_dir):
     held_out = fold("doc_id") == 1
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train"))
-    found = katz.score(docs)
+    found = katz.score(docs, min_count=1)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), *katz.RESULT)
 
 
