@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from veilmap.operators import detect
 from veilmap.operators import replace as R
 from veilmap.plans import corpora
 from veilmap.streaming.streams import run_available
@@ -50,3 +51,17 @@ def test_few_row_groups_are_spread(spark, tmp_path):
     lines = corpora.log_lines(spark, str(tmp_path))
     sizes = lines.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 3 and sum(r["count"] for r in sizes) == 60_000
+
+
+def test_words_are_searched_once(monkeypatch):
+    """A word that came before is not searched again; its findings are as in the whole text."""
+    searched = []
+    matches = detect._Finder._matches
+    monkeypatch.setattr(detect._Finder, "_matches", lambda self, kind, word: searched.append(word) or matches(self, kind, word))
+    find = detect._Finder(detect.select_kinds(), [], False, True, False, False)
+    text = "to SRV-APP-01.corp.local, from a.b@corp.local 10.1.2.3/24"
+    once = find(f"server {text}", [])
+    found = [f for i in range(50) for f in find(f"server {text} {text} é{i}", [])]
+    assert len(searched) < 20 and len(found) == 50 * 2 * len(once)
+    assert {(t, v) for t, v, *_ in once} == {("ipv4", "10.1.2.3"), ("cidr", "10.1.2.3/24"), ("hostname", "SRV-APP-01.corp.local"),
+                                             ("hostname", "corp.local"), ("upn", "a.b@corp.local")}

@@ -73,19 +73,6 @@ MAC = (
 )
 UNC = r"\\\\[A-Za-z0-9._-]++\\[A-Za-z0-9._$-]++(?:\\[A-Za-z0-9._$-]++)*+"
 
-# Plain substrings without which a pattern cannot match; all of one inner
-# group are needed.  They spare the regex on most rows.
-REQUIRED_SUBSTRINGS = {
-    "ipv4": (("10.", "172.", "192.168."),),
-    "cidr": (("10.", "172.", "192.168."), ("/",)),
-    "upn": (("@",),),
-    "guid": (("-",),),
-    "sid": (("S-1-5-21-",),),
-    "mac": ((":", "-"),),
-    "unc": (("\\\\",),),
-    "fqdn": ((".",),),
-}
-
 # File name extensions that are never the end of a host name.
 FILE_EXTENSIONS = (
     "txt", "log", "md", "ps1", "py", "js", "html", "css", "json", "xml",
@@ -136,9 +123,53 @@ def decimal_digit_table() -> tuple[str, str]:
 @lru_cache
 def python_pattern(pattern: str) -> re.Pattern:
     """A pattern of this module in Python's dialect, where \\w is [\\p{L}\\p{N}_] and \\d is \\p{Nd}."""
+    pattern = pattern.replace(_NOT_AFTER_WORD, r"(?<!\w)")
     return re.compile(pattern.replace(_WORD, r"\w").replace(r"[\p{L}\p{N}]", r"[^\W_]").replace(r"\p{Nd}", r"\d").replace(r"\z", r"\Z"))
 
 
+_DOT_TOP = re.compile(r"\.[A-Za-z]{2}")
+_FLAT = re.compile(r"(?=[A-Z0-9]{4})[0-9]*[A-Z]")
+
+
+def possible_kinds(word: str) -> list[str]:
+    """The kinds that may have a match in a word, told by plain characters that every match holds."""
+    kinds, hyphens = [], word.count("-")
+    if "." in word:
+        if "10." in word or "172." in word or "192.168." in word:
+            kinds += ["ipv4", "cidr"] if "/" in word else ["ipv4"]
+        if _DOT_TOP.search(word):
+            kinds += ["fqdn", "upn"] if "@" in word else ["fqdn"]
+    if hyphens or _FLAT.search(word):
+        kinds.append("netbios")
+        if hyphens >= 4:
+            kinds.append("guid")
+            if "S-1-5-21-" in word:
+                kinds.append("sid")
+    if hyphens + word.count(":") >= 5:
+        kinds.append("mac")
+    if "\\\\" in word:
+        kinds.append("unc")
+    return kinds
+
+
+_UPN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_UPN_START = re.compile(r"(?=[A-Za-z0-9_])(?<!\w)|(?=[.%+-])(?<=\w)")
+_UPN_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?!\w)")
+
+
+def find_upns(text: str):
+    """Matches of UPN, looked for from the signs backwards: what a match may begin with in the run of characters before a
+    sign does not change where it ends."""
+    upn, end = python_pattern(UPN), 0
+    for domain in _UPN_DOMAIN.finditer(text):
+        start = domain.start()
+        while start > end and text[start - 1] in _UPN_CHARS:
+            start -= 1
+        if begin := _UPN_START.search(text, start, domain.start()):
+            yield upn.match(text, begin.start(), domain.end())
+            end = domain.end()
+
+
 _LABEL_BEFORE = re.compile(r"(?<![\w-])[A-Za-z0-9]{1,15}\.\Z")
 
 
