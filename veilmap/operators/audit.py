@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilmap.operators.detect import as_keys
 from veilmap.operators.replace import (
-    anonymize, bounded_pairs, bounded_pattern, find_mapped, reveal,
+    anonymize, bounded_pairs, bounded_pattern, find_mapped, occurring_values, reveal,
 )
 
 
@@ -50,17 +50,25 @@ def fakes_that_are_originals(m: DataFrame) -> DataFrame:
         m.select(F.col("original_value").alias("anonymized_value")), "anonymized_value", "left_semi")
 
 
+def _fakes_as_keys(m: DataFrame) -> DataFrame:
+    return m.select(F.col("anonymized_value").alias("original_value"), F.lit("").alias("anonymized_value")).distinct()
+
+
 def fakes_in_corpus(df: DataFrame, m: DataFrame, key, text: str) -> DataFrame:
     """Fakes that the untouched corpus contains already, with the number of documents."""
     keys = as_keys(key)
-    fakes = m.select(F.col("anonymized_value").alias("original_value"),
-                     F.lit("").alias("anonymized_value")).distinct()
-    found = find_mapped(df, keys, text, fakes)
+    found = find_mapped(df, keys, text, _fakes_as_keys(m))
     return (found.groupBy(F.col("original_value").alias("anonymized_value"), *keys).agg(F.lit(1))
             .groupBy("anonymized_value").agg(F.count("*").alias("documents")))
 
 
+def seen_fakes(df: DataFrame, m: DataFrame, text: str) -> DataFrame:
+    """(anonymized_value): the fakes of `fakes_in_corpus`, without a count of documents and so without a row per
+    occurrence."""
+    return occurring_values(df, text, _fakes_as_keys(m)).select(F.col("original_value").alias("anonymized_value"))
+
+
 def fake_collisions(df: DataFrame, m: DataFrame, key, text: str) -> DataFrame:
     """(anonymized_value, reason): fakes that make a round trip unsafe."""
-    return (fakes_in_corpus(df, m, key, text).select("anonymized_value", F.lit("in corpus").alias("reason"))
+    return (seen_fakes(df, m, text).withColumn("reason", F.lit("in corpus"))
             .unionByName(fakes_that_are_originals(m).withColumn("reason", F.lit("is an original"))))

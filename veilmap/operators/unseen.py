@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmap.functions.pools import ACCOUNT_STEMS, HOST_WORDS
-from veilmap.operators.audit import fakes_in_corpus
+from veilmap.operators.audit import seen_fakes
 from veilmap.operators.generate import generate_map
 from veilmap.schemas import MAP_COLUMNS
 from veilmap.sources.storage import materialize
@@ -58,7 +58,7 @@ def generate_unseen(df: DataFrame, key, text: str, identifiers: DataFrame, exist
         known = reduce(DataFrame.unionByName, done + ([] if existing is None else [existing.select(MAP_COLUMNS)])) \
             if done or existing is not None else None
         drawn = materialize(generate_map(rest, known, avoid=avoid, **options), "drawn")
-        seen = materialize(fakes_in_corpus(df, drawn, key, text).select("anonymized_value"), "seen")
+        seen = materialize(seen_fakes(df, drawn, text), "seen")
         hit = drawn.join(seen, "anonymized_value", "left_semi")
         kinds = [r[0] for r in hit.select("identifier_type").distinct().collect()]  # at most one row per type
         if not kinds:
