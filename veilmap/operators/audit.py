@@ -4,9 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmap.operators.detect import as_keys
-from veilmap.operators.replace import (
-    anonymize, bounded_pairs, bounded_pattern, find_mapped, occurring_values, reveal,
-)
+from veilmap.operators.replace import anonymize, bounded_automaton, find_mapped, occurring_values, reveal, rows_with_keys
 
 
 def roundtrip(df: DataFrame, m: DataFrame, key, text: str, order=None) -> DataFrame:
@@ -30,13 +28,10 @@ def roundtrip_report(df: DataFrame, m: DataFrame, key, text: str, order=None) ->
 def residual_leaks(df: DataFrame, m: DataFrame, key, text: str) -> DataFrame:
     """Keys of the documents in which some original value still occurs."""
     keys = as_keys(key)
-    pairs = bounded_pairs(m)
-    if pairs == {}:
-        return df.select(*keys).limit(0)
-    pattern = None if pairs is None else bounded_pattern(pairs)
-    if pattern is None:
+    held = bounded_automaton(m)
+    if held is None:
         return find_mapped(df, keys, text, m).select(*keys).distinct()
-    return df.where(F.rlike(F.col(text), F.lit(pattern))).select(*keys)
+    return rows_with_keys(df, keys, text, held)
 
 
 def ambiguous_fakes(m: DataFrame) -> DataFrame:
