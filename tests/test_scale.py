@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilmap.operators import audit, detect
 from veilmap.operators import replace as R
-from veilmap.plans import corpora
+from veilmap.plans import corpora, registry
 from veilmap.streaming.streams import run_available
 
 
@@ -128,3 +128,13 @@ def test_leaks_of_all_strategies(spark, texts, make_map, monkeypatch):
         monkeypatch.setattr(R, "MAX_AUTOMATON_KEYS", most)
         assert sorted(r.id for r in audit.residual_leaks(df, m, "id", "text").collect()) == [0, 1]
     assert audit.residual_leaks(df, m.limit(0), "id", "text").count() == 0
+
+
+def test_stream_query_takes_any_map(spark, events, monkeypatch):
+    """The registered stream is written with a map beyond every broadcast as well, from a folder of files too."""
+    m = registry._approved_map(spark, events)
+    expected = {tuple(r) for r in R.anonymize(corpora.log_lines(spark, events), m, "line").collect()}
+    monkeypatch.setattr(R, "MAX_AUTOMATON_KEYS", 1)
+    monkeypatch.setattr(R.Replacer.__init__, "__defaults__", ("auto", 1))
+    out = registry.stream_anonymize(spark, events).collect()
+    assert len(out) == 60_000 and {tuple(r) for r in out} == expected

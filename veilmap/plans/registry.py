@@ -372,14 +372,16 @@ def run_report(spark, sf):
 
 def _line_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spread_events(spark, sf, spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    # A pattern, so that a stream takes the table as one file or as a folder of files.
+    events = spread_events(spark, sf, spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]"))
     # Event time must be an instant; the table holds wall-clock times.
     return log_lines_of(events.withColumn("ts", F.col("ts").cast("timestamp")), with_time=True)
 
 
 def stream_anonymize(spark, sf):
-    stream = _line_stream(spark, sf).drop("ts")
-    return streams.run_available(replace.anonymize(stream, _approved_map(spark, sf), _TEXT), "stream")
+    stream, out = _line_stream(spark, sf).drop("ts"), new_path(spark, "stream")
+    streams.anonymize_stream(stream, _approved_map(spark, sf), _TEXT, out, new_path(spark, "stream-state"))
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
 def stream_new_identifiers(spark, sf):
