@@ -4,10 +4,12 @@ Good-Turing discounted counts; bigrams below `min_count` are left to the unigram
 the mass that seen bigrams leave goes to the unseen ones with exactly normalised weights.
 
 Texts are packed: a pack holds the documents of a few megabytes, compressed.  Each pack asks for
-the counts of its own distinct words and bigrams, in lists by partition of a hash; the partition
+the counts of its own distinct words and then bigrams, in lists by partition; the partition
 adds up what the packs have seen and answers each pack in the order it asked.  So a word or
 bigram crosses the network once per pack, not once per occurrence, and the model lives in
-partitioned tables that no task reads whole.
+partitioned tables that no task reads whole.  A word's hash travels once per pack: the answer numbers
+it within its partition, and bigrams are lists of such numbers, with the counts of their second words, so that
+the unigram mass of what follows a context is summed where its bigrams are.
 """
 
 import uuid
@@ -26,18 +28,35 @@ ORDER, CUT, MIN_COUNT = 2, 5, 2
 HEAD = 1 << 16
 PACK = 16 << 20
 _START, _END = np.uint64(1), np.uint64(2)
-_LIST = "kind string, pack string, p long, longs array<long>, more array<long>, ints array<long>, x array<double>, y array<double>"
-_FIELDS = ["kind", "pack", "p", "longs", "more", "ints", "x", "y"]
-_TYPES = [pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 3, *[pa.list_(pa.float64())] * 2]
+_LIST = "kind string, pack string, p long, data array<binary>, ints array<long>"
+_TYPES = {"kind": pa.string(), "pack": pa.string(), "p": pa.int64(), "data": pa.list_(pa.binary()), "ints": pa.list_(pa.int64())}
 
 
 def _rows(rows: list[dict]) -> pa.Table:
-    cols = [pa.array([r.get(f) for r in rows], t) for f, t in zip(_FIELDS, _TYPES)]
-    return pa.Table.from_arrays(cols, _FIELDS)
+    return pa.Table.from_arrays([pa.array([r.get(f) for r in rows], t) for f, t in _TYPES.items()], list(_TYPES))
 
 
-def _values(column, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False) if column[i].is_valid else np.zeros(0, np.int64)
+def _squeezed(x: np.ndarray) -> bytes:
+    """Doubles, or whole numbers from 0 on in their least width, compressed with bytes of equal rank together."""
+    if x.dtype.kind != "f":
+        x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+    ranks = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    return x.dtype.str[1:].encode() + len(x).to_bytes(8, "little") + pa.compress(ranks.tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    """What `_squeezed` was given; whole numbers as int64 or uint64."""
+    kind, n = np.dtype(data[:2].decode()), int.from_bytes(data[2:10], "little")
+    if not n:
+        return np.zeros(0, np.float64 if kind.kind == "f" else np.int64)
+    ranks = pa.decompress(data[10:], n * kind.itemsize, "zstd", asbytes=True)
+    x = np.frombuffer(ranks, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).ravel()
+    return x if kind.itemsize == 8 else x.astype(np.int64)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as the first and the differences; `np.cumsum` gives them back."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 def _slices(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
@@ -129,8 +148,11 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _pair_part(first: np.ndarray, second: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    """Bigrams of a context share a partition, but for hot contexts."""
-    return _part(np.where(np.isin(first, hot), first ^ mixed(second), first), parts)
+    """Bigrams are where their context is numbered, but for hot contexts."""
+    p = first % parts
+    spread_out = np.flatnonzero(np.isin(first, hot))
+    p[spread_out] = _part(first[spread_out].view(np.uint64) ^ mixed(second[spread_out].view(np.uint64)), parts)
+    return p
 
 
 def _split(p: np.ndarray, parts: int):
@@ -146,22 +168,37 @@ def _ask_words(parts: int):
                 c = _count(data.as_buffer())
                 for p, at in enumerate(_split(_part(c.words, parts), parts)):
                     if len(at):
-                        yield from _rows([{"kind": "list", "pack": pack, "p": p, "longs": c.words[at].view(np.int64),
-                                           "ints": c.word_n[at]}]).to_batches()
+                        yield from _rows([{"kind": "list", "pack": pack, "p": p, "data": [
+                            _squeezed(_steps(c.words[at])), _squeezed(c.word_n[at])]}]).to_batches()
     return run
 
 
-def _ask_pairs(parts: int, hot: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            for pack, data in zip(batch.column("pack").to_pylist(), batch.column("data")):
-                c = _count(data.as_buffer())
-                p_of = _pair_part(c.words[c.first], c.words[c.second], hot, parts)
-                for p, at in enumerate(_split(p_of, parts)):
-                    if len(at):
-                        heads, n = np.unique(c.first[at], return_counts=True)
-                        yield from _rows([{"kind": "list", "pack": pack, "p": p, "longs": c.words[c.second[at]].view(np.int64),
-                                           "more": np.concatenate([c.words[heads].view(np.int64), n]), "ints": c.pair_n[at]}]).to_batches()
+def _numbered(c: _Counted, parts: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, dict]:
+    """(count, number) of each word of a pack from the answers of the words' partitions, and what else they hold
+    as {partition: (words, data)}."""
+    n, number, more = np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64), {}
+    by = _split(_part(c.words, parts), parts)
+    for kind, p, data in zip(answers.column("kind").to_pylist(), answers.column("p").to_pylist(), answers.column("data").to_pylist()):
+        if kind != "pairs":
+            n[by[p]] = _numbers(data[0])
+            number[by[p]] = np.cumsum(_numbers(data[1])) * parts + p
+            more[p] = by[p], data[2:]
+    return n, number, more
+
+
+def _ask_pairs(parts: int, hot: np.ndarray, head: np.ndarray):
+    """A list holds the distinct contexts, how many bigrams each has, and of these the second words, their counts (0 for
+    frequent ones) and the bigrams' own."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        c, out = _count(left.column("data")[0].as_buffer()), []
+        n, number, _ = _numbered(c, parts, right)
+        n[np.isin(number, head)] = 0
+        for p, at in enumerate(_split(_pair_part(number[c.first], number[c.second], hot, parts), parts)):
+            if len(at):
+                heads, runs = np.unique(c.first[at], return_counts=True)
+                out.append({"kind": "list", "pack": left.column("pack")[0].as_py(), "p": p, "data": [_squeezed(x) for x in (
+                    number[heads], runs, number[c.second[at]], n[c.second[at]], c.pair_n[at])]})
+        return _rows(out)
     return run
 
 
@@ -171,20 +208,31 @@ def _class_counts(n: np.ndarray) -> np.ndarray:
 
 
 def _answer_words(table: pa.Table) -> pa.Table:
-    """Adds up the lists of one partition: the table of words, sums, and each pack's answer."""
-    longs, ints = table.column("longs").combine_chunks(), table.column("ints").combine_chunks()
-    words, place = np.unique(longs.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    n = np.bincount(place, ints.flatten().to_numpy(), len(words)).astype(np.int64)
+    """Adds up the lists of one partition and numbers its words: their counts, sums, and each pack's answer."""
+    lists = table.column("data").to_pylist()
+    asked = [np.cumsum(_numbers(steps).astype(np.uint64), dtype=np.uint64) for steps, _ in lists]
+    words, place = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(place, np.concatenate([_numbers(seen) for _, seen in lists]), len(words)).astype(np.int64)
     p, out = table.column("p")[0].as_py(), []
-    cuts = np.cumsum([len(longs[i].values) for i in range(len(table))])[:-1]
-    for pack, back, asked in zip(table.column("pack").to_pylist(), np.split(n[place], cuts), longs):
-        out.append({"kind": "back", "pack": pack, "p": p, "ints": back, "longs": asked.values})
-    known = n > 0
-    out.append({"kind": "table", "p": p, "longs": words[known].view(np.int64), "ints": n[known]})
-    out.append({"kind": "sums", "p": p, "ints": np.concatenate([[n.sum(), known.sum()], _class_counts(n)])})
+    cuts = np.cumsum([len(a) for a in asked])[:-1]
+    for pack, at in zip(table.column("pack").to_pylist(), np.split(place, cuts)):
+        out.append({"kind": "back", "pack": pack, "p": p, "data": [_squeezed(n[at]), _squeezed(_steps(at))]})
+    out.append({"kind": "table", "p": p, "data": [_squeezed(n)]})
+    out.append({"kind": "sums", "p": p, "ints": np.concatenate([[n.sum(), (n > 0).sum()], _class_counts(n[n > 0])])})
     return _rows(out)
 
 
+def _frequent(parts: int, total: int, most: int):
+    """(number, count) of the words that make up at least a `most`-th of all tokens."""
+    def run(batches):
+        for batch in batches:
+            for p, (counts,) in zip(batch.column("p").to_pylist(), batch.column("data").to_pylist()):
+                n = _numbers(counts)
+                at = np.flatnonzero((n > 0) & (n * most >= total))
+                yield pa.RecordBatch.from_arrays([pa.array(at * parts + p, pa.int64()), pa.array(n[at], pa.int64())], ["w", "n"])
+    return run
+
+
 def discounts(classes: list[int]) -> np.ndarray:
     """Good-Turing discount ratios of counts 0 .. CUT + 1 (1 beyond CUT; 0 for 0), in Katz's form.
     Where the classes do not give ratios within (0, 1), half a count is taken off."""
@@ -221,78 +269,72 @@ class Unigrams:
         return np.where(n > 0, self.scale * self.d[np.minimum(n, CUT + 1)] * n / max(self.total, 1), self.unseen)
 
 
-def _answer_pairs(uni: Unigrams, head: np.ndarray, head_n: np.ndarray, min_count: int):
-    """Adds up bigrams of one partition: answers, class sums, per context what its stored bigrams
-    hold, and the stored bigrams whose second word is not among the frequent ones."""
+def _answer_pairs(uni: Unigrams, head: np.ndarray, head_n: np.ndarray, parts: int, min_count: int):
+    """Adds up bigrams of one partition: answers, class sums, and per context what its stored bigrams hold and the
+    unigram mass of their second words, for the partition that numbers it."""
     def run(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
-        more, longs = table.column("more").combine_chunks(), table.column("longs").combine_chunks()
-        first = []
-        for i in range(len(table)):
-            both = more[i].values.to_numpy()
-            first.append(np.repeat(both[:len(both) // 2], both[len(both) // 2:]))
-        cuts = np.cumsum([len(x) for x in first])[:-1]
-        v = np.concatenate(first).view(np.uint64)
-        w = longs.flatten().to_numpy().view(np.uint64)
-        seen = table.column("ints").combine_chunks().flatten().to_numpy()
+        lists = [[_numbers(x) for x in row] for row in table.column("data").to_pylist()]
+        cuts = np.cumsum([len(x[2]) for x in lists])[:-1]
+        v = np.concatenate([np.repeat(x[0], x[1]) for x in lists])
+        w, w_n, seen = (np.concatenate([x[i] for x in lists]) for i in (2, 3, 4))
+        lists = None
         order = np.lexsort((w, v))
         new = np.ones(len(order), bool)
         new[1:] = (v[order][1:] != v[order][:-1]) | (w[order][1:] != w[order][:-1])
         place = np.empty(len(order), np.int64)
         place[order] = np.cumsum(new) - 1
         n = np.bincount(place, seen).astype(np.int64)
-        out = [{"kind": "back", "pack": pack, "p": p, "ints": back}
+        out = [{"kind": "pairs", "pack": pack, "p": p, "data": [_squeezed(back)]}
                for pack, back in zip(table.column("pack").to_pylist(), np.split(n[place], cuts))]
         out.append({"kind": "sums", "p": p, "ints": _class_counts(n)})
-        v, w = v[order][new], w[order][new]
-        kept = n >= min_count
-        v, w, n = v[kept], w[kept], n[kept]
+        first = order[new][n >= min_count]
+        v, w, w_n, n = v[first], w[first], w_n[first], n[n >= min_count]
         if len(v):
             ctx, inv = np.unique(v, return_inverse=True)
             held = [np.bincount(inv, n == r, len(ctx)) for r in range(min_count, CUT + 1)]
             held.append(np.bincount(inv, np.where(n > CUT, n, 0), len(ctx)))
-            at = np.minimum(np.searchsorted(head, w), max(len(head) - 1, 0))
-            common = head[at] == w if len(head) else np.zeros(len(w), bool)
-            mass = np.bincount(inv, np.where(common, uni.p(head_n[at]) if len(head) else 0.0, 0.0), len(ctx))
-            out.append({"kind": "ctx", "p": p, "longs": ctx.view(np.int64), "ints": np.stack(held, 1).astype(np.int64).ravel(), "x": mass})
-            out.append({"kind": "tail", "p": p, "longs": w[~common].view(np.int64), "more": v[~common].view(np.int64)})
+            if len(head):
+                at = np.minimum(np.searchsorted(head, w), len(head) - 1)
+                w_n = np.where(head[at] == w, head_n[at], w_n)
+            mass = np.bincount(inv, uni.p(w_n), len(ctx))
+            for q in np.unique(ctx % parts):
+                at = np.flatnonzero(ctx % parts == q)
+                out.append({"kind": "ctx", "p": q, "data": [
+                    _squeezed(ctx[at] // parts), _squeezed(mass[at]), *[_squeezed(h[at].astype(np.int64)) for h in held]]})
         return _rows(out)
     return run
 
 
-def _weights(d: np.ndarray, docs: int, min_count: int):
+def _weights(d: np.ndarray, docs: int, parts: int, min_count: int):
     """Answers each pack with the logarithms of the backoff weight and of the scale of seen
-    bigrams for each of its words as context."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = left.column("kind").to_pylist()
-        i = kinds.index("table")
-        known, count = _values(left.column("longs"), i).view(np.uint64), _values(left.column("ints"), i)
-        known, count = np.append(known, _START), np.append(count, docs)
-        order = np.argsort(known)
-        known, count = known[order], count[order]
-        ctx = right.column("v").to_numpy().view(np.uint64)
-        by = np.argsort(ctx)
-        ctx = ctx[by]
-        held = np.stack([right.column(f"s{k}").to_numpy()[by] for k in range(CUT - min_count + 2)], 1).astype(float)
-        r = np.arange(min_count, CUT + 1)
-        seen = held @ np.append(d[min_count:CUT + 1] * r, 1.0)
-        at = np.minimum(np.searchsorted(known, ctx), len(known) - 1)
-        c = count[at].astype(float)
-        # A context whose bigrams are all frequent leaves nothing: half a count is kept for others.
-        left_over = np.maximum(1 - seen / c, 0.5 / (c + 0.5))
-        scale = np.log10((1 - left_over) / (seen / c))
-        lower = np.maximum(1 - right.column("mass").to_numpy()[by], 1e-12)
-        alpha = np.log10(left_over / lower)
+    bigrams for each of its words as context, as lists of distinct ones and each word's place in these."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(table.column("kind").to_pylist(), table.column("pack").to_pylist(), table.column("data").to_pylist()))
+        p = table.column("p")[0].as_py()
+        count = _numbers(next(data for kind, _, data in rows if kind == "table")[0]).copy()
+        if p == _part(np.array([_START]), parts)[0]:
+            # The mark of starts is the least of all hashes.
+            count[0] = docs
+        ctx = [[_numbers(x) for x in data] for kind, _, data in rows if kind == "ctx"]
+        alpha, scale = np.zeros(len(count)), np.zeros(len(count))
+        if ctx:
+            place, mass, *held = (np.concatenate(x) for x in zip(*ctx))
+            at, place = np.unique(place, return_inverse=True)
+            held = np.stack([np.bincount(place, h, len(at)) for h in held], 1)
+            r = np.arange(min_count, CUT + 1)
+            seen, c = held @ np.append(d[min_count:CUT + 1] * r, 1.0), count[at].astype(float)
+            # A context whose bigrams are all frequent leaves nothing: half a count is kept for others.
+            left_over = np.maximum(1 - seen / c, 0.5 / (c + 0.5))
+            scale[at] = np.log10((1 - left_over) / (seen / c))
+            alpha[at] = np.log10(left_over / np.maximum(1 - np.bincount(place, mass, len(at)), 1e-12))
+        both, which = np.unique(alpha + 1j * scale, return_inverse=True)
         out = []
-        for i, kind in enumerate(kinds):
+        for kind, pack, data in rows:
             if kind == "back":
-                asked = _values(left.column("longs"), i).view(np.uint64)
-                at = np.minimum(np.searchsorted(ctx, asked), max(len(ctx) - 1, 0))
-                hit = ctx[at] == asked if len(ctx) else np.zeros(len(asked), bool)
-                x = np.where(hit, alpha[at], 0.0) if len(ctx) else np.zeros(len(asked))
-                y = np.where(hit, scale[at], 0.0) if len(ctx) else np.zeros(len(asked))
-                out.append({"kind": "word", "pack": left.column("pack")[i].as_py(), "p": left.column("p")[i].as_py(),
-                            "ints": _values(left.column("ints"), i), "x": x, "y": y})
+                used, at = np.unique(which[np.cumsum(_numbers(data[1]))], return_inverse=True)
+                out.append({"kind": "word", "pack": pack, "p": p, "data": [
+                    *data, _squeezed(both[used].real), _squeezed(both[used].imag), _squeezed(at)]})
         return _rows(out)
     return run
 
@@ -301,18 +343,15 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d: np.ndarray, docs: int,
     """Scores the documents of one pack from the answers to its lists."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         c = _count(left.column("data")[0].as_buffer())
-        n_word = np.zeros(len(c.words), np.int64)
         alpha, scale = np.zeros(len(c.words)), np.zeros(len(c.words))
         n_pair = np.zeros(len(c.first), np.int64)
-        by_word = _split(_part(c.words, parts), parts)
-        by_pair = _split(_pair_part(c.words[c.first], c.words[c.second], hot, parts), parts)
-        for i, (kind, p) in enumerate(zip(right.column("kind").to_pylist(), right.column("p").to_pylist())):
-            ints = _values(right.column("ints"), i)
-            if kind == "word":
-                n_word[by_word[p]] = ints
-                alpha[by_word[p]], scale[by_word[p]] = _values(right.column("x"), i), _values(right.column("y"), i)
-            else:
-                n_pair[by_pair[p]] = ints
+        n_word, number, weights = _numbered(c, parts, right)
+        for words, (a, s, at) in weights.values():
+            alpha[words], scale[words] = _numbers(a)[_numbers(at)], _numbers(s)[_numbers(at)]
+        by_pair = _split(_pair_part(number[c.first], number[c.second], hot, parts), parts)
+        for kind, p, data in zip(right.column("kind").to_pylist(), right.column("p").to_pylist(), right.column("data").to_pylist()):
+            if kind == "pairs":
+                n_pair[by_pair[p]] = _numbers(data[0])
         context = np.where(c.words == _START, docs, n_word)
         lower = np.log10(uni.p(n_word))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -347,43 +386,24 @@ def score(docs: DataFrame, train: str = "train", id_col: str = "doc_id", text: s
     rows = docs.select(F.col(id_col).alias(id_col), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.col(text).alias("text"))
     packs = materialize(rows.mapInArrow(_pack, "pack string, data binary"), "packs")
     parts = max(spread(docs), 2 * packs.count())
-    docs_n, summary = rows.where("train").count(), CUT - min_count + 2
+    docs_n = rows.where("train").count()
     words = materialize(packs.mapInArrow(_ask_words(parts), _LIST).groupBy("p").applyInArrow(_answer_words, _LIST), "words")
     sums = words.where("kind = 'sums'").select(F.posexplode("ints").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
     total, kinds, *classes = [r["n"] for r in sums.orderBy("i").collect()] or [0] * (CUT + 3)
     uni = Unigrams.fitted(total, kinds, classes) if total else Unigrams(0, 0, discounts(classes), 1.0)
-    table = words.where("kind = 'table'").select(F.inline(F.arrays_zip(F.col("longs").alias("w"), F.col("ints").alias("n"))))
     # Words of at least a HEAD-th of all tokens; there cannot be more than HEAD.
-    head = table.where(F.col("n") * F.lit(HEAD) >= F.lit(total)).toPandas()
-    head_w = head["w"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(head_w)
-    head_w, head_n = head_w[order], head["n"].to_numpy(np.int64)[order]
-    hot = np.append(head_w[head_n * parts > total], _START)
-    pairs = materialize(packs.mapInArrow(_ask_pairs(parts, hot), _LIST).groupBy("p").applyInArrow(
-        _answer_pairs(uni, head_w, head_n, min_count), _LIST), "pairs")
+    head = words.where("kind = 'table'").select("p", "data").mapInArrow(_frequent(parts, total, HEAD), "w long, n long").orderBy("w").toPandas()
+    head_w, head_n = head["w"].to_numpy(np.int64), head["n"].to_numpy(np.int64)
+    often = words.where("kind = 'table'").select("p", "data").mapInArrow(_frequent(parts, total, parts), "w long, n long")
+    # The mark of starts has number 0 in its partition.
+    hot = np.append(_part(np.array([_START]), parts), np.array([r["w"] for r in often.collect()], np.int64))
+    told = words.where("kind = 'back'")
+    pairs = packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(_ask_pairs(parts, hot, head_w), _LIST)
+    pairs = materialize(pairs.groupBy("p").applyInArrow(_answer_pairs(uni, head_w, head_n, parts, min_count), _LIST), "pairs")
     sums = pairs.where("kind = 'sums'").select(F.posexplode("ints").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n"))
     d = discounts([r["n"] for r in sums.orderBy("i").collect()] or [0] * (CUT + 1))
-    # Unigram mass of stored bigrams with rarer second words.
-    tail = pairs.where("kind = 'tail'").select(F.inline(F.arrays_zip(F.col("longs").alias("w"), F.col("more").alias("v"))))
-    held = F.when(F.col("n") > CUT, F.col("n").cast("double"))
-    for r in range(CUT, 0, -1):
-        held = F.when(F.col("n") == r, F.lit(float(uni.d[r] * r))).otherwise(held)
-    tail = tail.join(table, "w").select("v", (held * F.lit(uni.scale / max(total, 1))).alias("mass"))
-    ctx = pairs.where("kind = 'ctx'").select(F.posexplode("longs").alias("i", "v"), "ints", "x").select(
-        "v", *[F.get("ints", F.col("i") * summary + k).alias(f"s{k}") for k in range(summary)], F.get("x", "i").alias("mass"))
-    whole = ctx.unionByName(tail.select("v", *[F.lit(0).cast("long").alias(f"s{k}") for k in range(summary)], "mass"))
-    whole = whole.groupBy("v").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(summary)], F.sum("mass").alias("mass"))
-
-    def placed(batches):
-        for b in batches:
-            yield b.append_column("p", pa.array(_part(b.column("v").to_numpy().view(np.uint64), parts)))
-
-    fields = "v long, " + ", ".join(f"s{k} long" for k in range(summary)) + ", mass double, p long"
-    contexts = whole.mapInArrow(placed, fields)
-    asked = words.where("kind in ('back', 'table')")
-    answers = asked.groupBy("p").cogroup(contexts.groupBy("p")).applyInArrow(_weights(d, docs_n, min_count), _LIST)
-    answers = answers.select("kind", "pack", "p", "ints", "x", "y").unionByName(
-        pairs.where("kind = 'back'").select("kind", "pack", "p", "ints", "x", "y"))
+    asked = words.where("kind in ('back', 'table')").unionByName(pairs.where("kind = 'ctx'"))
+    answers = asked.groupBy("p").applyInArrow(_weights(d, docs_n, parts, min_count), _LIST).unionByName(pairs.where("kind = 'pairs'"))
     out = f"{id_col} {dict(rows.dtypes)[id_col]}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(
         _score(parts, hot, uni, d, docs_n, RESULT, min_count), out)
